@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rank_bpe
+from . import ppm_langid, rank_bpe, toxicity
 from .common import table
 
 
@@ -16,6 +17,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = ppm_langid.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(*toxicity.labelled_sample(docs, labels.where(~out)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = ppm_langid.held_out(F.col("doc_id"), 4, 2)
+    model = ppm_langid.train(docs.where(~out))
+    return ppm_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
