@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm_langid, rank_bpe, toxicity
+from . import ppm_langid, rank_bpe, toxicity, window_dedup
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
