@@ -198,8 +198,8 @@ class Sketch:
 
     depth = 2
 
-    def __init__(self, expected: int, max_bits: int = 28):
-        self.bits = int(min(max_bits, max(16, np.ceil(np.log2(max(1, expected) * 2)))))
+    def __init__(self, expected: int, max_bits: int = 29):
+        self.bits = int(min(max_bits, max(16, np.ceil(np.log2(max(1, expected) * 3)))))
         self.shard_bits = min(22, self.bits)
         self.rows: list[np.ndarray] | None = None
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Sketch, ids_of, on_workers, pieces, prefix_hash, shuffle_parts, small_batches, span_hash, text_bytes
+from .common import BASE_A, BASE_B, Sketch, ids_of, on_workers, pieces, prefix_hash, small_batches, span_hash, text_bytes
 
 #: Hashes that a task holds before it sends them on.
 HELD = 4_000_000
@@ -90,7 +90,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint64, n, 8 + 8 * n), np.frombuffer(blob, np.int64, n, 8 + 16 * n), np.frombuffer(blob, np.uint8, n, 8 + 24 * n)
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", max_sketch_bits: int = 28, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", max_sketch_bits: int = 29, with_text: bool = True) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and, if with_text, kept_text (kept words joined by one blank)."""
     spark = docs.sparkSession
     on_workers(spark)
@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
 
     sketch.gather(rows.select("text").mapInArrow(count, "shard long, cells binary"))
     shared = spark.sparkContext.broadcast(sketch)
-    shards = max(shuffle_parts(spark), size // (24 << 20))
+    shards = max(12, size // (40 << 20))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
