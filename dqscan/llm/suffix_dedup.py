@@ -35,13 +35,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, shuffle_parts, small_batches, span_hash, text_bytes
+from .common import BASE_A, BASE_B, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, small_batches, span_hash, text_bytes
 
 GRAM = 40
 SHALLOW = 24
 BYTES = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
 #: Bytes of fragments that a task holds before it sends them on.
-HELD = 48 << 20
+HELD = 32 << 20
 
 
 # ---------------------------------------------------------------- sorting suffixes
@@ -178,9 +178,14 @@ class Fragments:
 
 
 def _flat(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of all spans, one behind the other."""
+    """The bytes of all spans, one behind the other; a million at a time, as places take eight bytes each."""
     to = np.cumsum(size)
-    return data[np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - size), size)]
+    out = np.empty(int(to[-1]) if len(to) else 0, np.uint8)
+    cuts = np.unique(np.r_[0, np.searchsorted(to, np.arange(1 << 20, len(out), 1 << 20)), len(to)])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = int(to[a - 1]) if a else 0, int(to[b - 1])
+        out[lo:hi] = data[np.arange(lo, hi) + np.repeat(start[a:b] - (to[a:b] - size[a:b]), size[a:b])]
+    return out
 
 
 class Pile:
@@ -300,7 +305,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
 
     sketch.gather(rows.select("text").mapInArrow(count, "shard long, cells binary"))
     shared = spark.sparkContext.broadcast(sketch)
-    shards = max(2 * shuffle_parts(spark), size // (12 << 20))
+    shards = max(24, size // (8 << 20))
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
