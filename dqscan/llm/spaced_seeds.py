@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spool
+
 #: The masks; together they hit any twelve tokens of which one is substituted.
 SEEDS = ("11101011", "110100111", "1110011001")
 SPAN = 8
@@ -47,33 +49,40 @@ def _placed(rows: DataFrame, *carry: str) -> DataFrame:
     """One row a seed: what is carried along, its place and its hash. Needs a column h.
 
     The seeds are a column before they are dealt out, so that generating rows and looking them up
-    run in one compiled stage, which copies what is carried along for hits alone. The outer form is
-    used as the other one adds a filter on the size of the array, which works all seeds out again.
+    run in one compiled stage. The outer form is used as the other one adds a filter on the size of
+    the array, which works all seeds out again.
     """
     made = rows.select(*carry, F.when(F.size("h") >= SPAN, seeds(F.col("h"))).otherwise(F.array().cast("array<bigint>")).alias("s"))
     return made.select(*carry, F.posexplode_outer("s").alias("p", "seed")).select(*carry, F.expr(f"p div {len(SEEDS)}").cast("int").alias("place"), "seed")
 
 
-def agreeing(h: Column, item: Column, place: Column, item_place: Column, span: int = max(map(len, SEEDS))) -> Column:
-    """Tokens that agree around a hit."""
-    around = F.sequence(F.greatest(item_place - MARGIN, F.lit(0)), F.least(item_place + span + MARGIN, F.size(item)) - 1)
-    return F.size(F.filter(around, lambda k: F.get(h, place - item_place + k) == F.get(item, k)))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", need: int = 11, max_broadcast: int = 500_000) -> DataFrame:
-    """One row for each document and item that overlap: key, item, n_hits, agreeing tokens around the best hit, first place."""
+    """One row for each document and item that overlap: key, item, n_hits, n_agreeing tokens around the best hit, first_place.
+
+    The hits of a document are gathered first; only documents with hits are read again, and the few
+    tokens around each hit are cut out of them.
+    """
     words = docs.select(F.col(key).alias("doc"), hashes(F.col(text)).alias("h"))
-    items = benchmark.select(F.col(item).alias("item"), hashes(F.col(item_text)).alias("item_h")).where(F.size("item_h") >= SPAN)
-    table = items.withColumn("h", F.col("item_h"))
-    theirs = _placed(table, "item", "item_h").select("seed", F.col("place").alias("item_place"), "item", "item_h")
-    size = table.agg(F.sum(F.size("h")).alias("n"), F.max(F.size("h")).alias("m")).first()
-    small = (size["n"] or 0) * len(SEEDS) <= max_broadcast and (size["m"] or 0) <= 2000
-    if small:
-        hits = _placed(words, "doc", "h").join(F.broadcast(theirs), "seed")
-    else:
-        found = _placed(words, "doc").join(theirs.drop("item_h"), "seed").select("doc", "place", "item", "item_place").distinct()
-        hits = found.join(words, "doc").join(items, "item")
-    agree = agreeing(F.col("h"), F.col("item_h"), F.col("place"), F.col("item_place"))
+    items = benchmark.select(F.col(item).alias("item"), hashes(F.col(item_text)).alias("item_h"))
+    theirs = _placed(items.withColumnRenamed("item_h", "h"), "item").where("seed is not null").select("seed", F.col("place").alias("item_place"), "item")
+    few = theirs.count() <= max_broadcast
+    span = max(map(len, SEEDS)) + 2 * MARGIN
+    found = spool(
+        _placed(words, "doc")
+        .join(F.broadcast(theirs) if few else theirs, "seed")
+        .groupBy("doc")
+        .agg(F.collect_set(F.struct("item", "place", "item_place")).alias("hits")),
+        "hits",
+    )
+    n = found.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    again = texts.join(F.broadcast(found) if n <= max_broadcast else found, F.col("k").eqNullSafe(F.col("doc"))).select("doc", hashes(F.col("t")).alias("h"), "hits")
+    cut = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["place"].alias("place"), x["item_place"].alias("item_place"), F.least(x["place"], F.lit(MARGIN)).alias("before"), F.slice(F.col("h"), F.greatest(x["place"] - MARGIN, F.lit(0)) + 1, F.lit(span)).alias("near")))
+    hits = again.select("doc", F.explode_outer(cut).alias("x")).select("doc", "x.*")
+    beside = items.where(F.size("item_h") >= SPAN)
+    hits = hits.join(F.broadcast(beside) if few else beside, "item")
+    around = F.sequence(-F.least(F.col("before"), F.col("item_place")), F.least(F.lit(span - MARGIN), F.size("item_h") - F.col("item_place")) - 1)
+    agree = F.size(F.filter(around, lambda k: F.get(F.col("near"), F.col("before") + k) == F.get(F.col("item_h"), F.col("item_place") + k)))
     enough = F.least(F.lit(need), F.ceil(F.size("item_h") * F.lit(0.8)))
     return (
         hits.select("doc", "item", "place", agree.alias("agree"), enough.alias("enough"))
@@ -86,5 +95,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents without any overlap. Documents of a null id can't be told apart and are judged by their own rows' id alone."""
-    bad = overlaps(docs, benchmark, key, **options).select(F.col(key).alias("bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("bad")), "left_anti")
+    bad = overlaps(docs, benchmark, key, **options).select(F.col(key).alias("__bad")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(F.col("__bad")), "left_anti")
