@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null doc_id wherever ids travel as plain 64-bit integers; it sorts first, as nulls do.
 NULL_ID = -(2**63)
@@ -69,6 +70,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def schema_of(first: T.StructType, rest: str) -> T.StructType:
+    """The fields of `first`, which may have any names, and those of a DDL string."""
+    return T.StructType([*first.fields, *T._parse_datatype_string(rest).fields])
+
+
 # ---------------------------------------------------------------- bytes of texts
 
 

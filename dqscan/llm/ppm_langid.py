@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import on_workers, pieces, small_batches, text_bytes
+from .common import on_workers, pieces, schema_of, small_batches, text_bytes
 
 ORDER = 3
 
@@ -183,8 +183,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = [batch.column("row"), pa.array(np.where(letters, known[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(np.where(letters, rate, 0.0))]
             yield pa.RecordBatch.from_arrays(out, names=["row", "lang_pred", "score", "bits_per_byte"])
 
-    kind = work.schema["row"].dataType.simpleString()
-    done = work.mapInArrow(run, f"row {kind}, lang_pred string, score double, bits_per_byte double")
+    done = work.mapInArrow(run, schema_of(work.select("row").schema, "lang_pred string, score double, bits_per_byte double"))
     return done.select(*[F.col("row")[c].alias(c) for c in names], "lang_pred", "score", "bits_per_byte")
 
 

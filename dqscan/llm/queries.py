@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm_langid, rank_bpe, simhash, spaced_seeds, suffix_dedup, toxicity, url_filter, window_dedup, winnow
+from . import chat_quotes, ppm_langid, rank_bpe, simhash, spaced_seeds, suffix_dedup, toxicity, url_filter, window_dedup, winnow
 from .common import table
 
 
@@ -22,7 +22,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = ppm_langid.held_out(F.col("doc_id"), 4, 2)

@@ -67,17 +67,18 @@ def fingerprint_many(texts: list[bytes], words_each: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 4) -> DataFrame:
-    """key and fp, the fingerprint as a signed 64-bit number."""
+    """key, text_hash and fp, the fingerprint as a signed 64-bit number."""
     on_workers(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
             fp = fingerprint_many([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], words_each)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], names=["id", "text_hash", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", key)
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long").withColumnRenamed("id", key)
 
 
 # ---------------------------------------------------------------- the index
@@ -205,7 +206,7 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id (least key that can be reached), component (of fingerprints)."""
+    """key, text_hash, fingerprint (16 hex digits), component_id (least key that can be reached), component (of fingerprints)."""
     rows = spool(fingerprints(docs, key, text), "fingerprints")
     distinct = spool(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     roots = components(linked(distinct, max_bits), "a", "b")
@@ -213,4 +214,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     of = spool(of, "components")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     table = of.select("fp", "component").join(ids, "component")
-    return rows.join(table, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+    return rows.join(table, "fp").select(key, "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
+    """The documents, one of each component: that of the least key, the first by a hash of the text among rows that share it."""
+    found = near_duplicates(docs, key, text, max_bits)
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("h"))
+    best = spool(found.groupBy("component").agg(F.min(row).alias("m")).select(F.col("m.k").alias("__k"), F.col("m.h").alias("__h")), "kept")
+    kept = docs.join(best, docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_semi")
+    repeated = found.groupBy(key, "text_hash").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([key, text]) if repeated else kept

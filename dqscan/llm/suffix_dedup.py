@@ -34,8 +34,9 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BASE_A, BASE_B, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, small_batches, span_hash, text_bytes
+from .common import BASE_A, BASE_B, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, schema_of, small_batches, span_hash, text_bytes
 
 GRAM = 40
 SHALLOW = 24
@@ -272,8 +273,8 @@ def kept_windows(pile: Pile, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
 EXCEPTION = np.dtype([("place", np.int64), ("mark", np.uint64), ("bits", np.uint64)])
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", max_sketch_bits: int = 28, with_text: bool = True) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, kept_text.
+def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", max_sketch_bits: int = 28, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, if with_text kept_text, and the columns to carry along.
 
     kept_text leaves out the remains of code points that a removed span cuts through.
     """
@@ -283,7 +284,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
     on_workers(spark)
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in carry]).alias("extra"))
+    extra = T.StructType().add("id", "long").add("extra", rows.schema["extra"].dataType)
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     sketch = Sketch(int(size * 2.1 / (width - GRAM)), max_sketch_bits)
 
@@ -343,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
         return pa.table({"id": pa.array(doc[first], pa.int64()), "keep": pa.array([rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
     keep = (
-        rows.mapInArrow(fragments, "shard int, pile binary")
+        rows.select("id", "text").mapInArrow(fragments, "shard int, pile binary")
         .groupBy("shard")
         .applyInArrow(sort, "id long, keep binary")
         .groupBy("id")
@@ -355,7 +357,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             view, cuts = memoryview(data.tobytes()), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press.compress(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("extra"), pa.array([press.compress(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["id", "extra", "packed"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,21 +373,23 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
                     out += _cut(held, lists[from_ : k + 1], shared.value, width, with_text)
                     held, total, from_ = [], 0, k + 1
             columns = list(zip(*out, strict=True))
-            arrays = [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            arrays = [batch.column("id"), batch.column("extra"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
+            names = ["id", "extra", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(columns[4], pa.string()))
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     joined = (
-        rows.mapInArrow(squeezed, "id long, packed binary")
+        rows.mapInArrow(squeezed, schema_of(extra, "packed binary"))
         .withColumn("k", F.coalesce("id", F.lit(-(2**63))))
         .join(keep.withColumnRenamed("id", "k"), "k", "left")
-        .select("id", "packed", "keep")
+        .select("id", "extra", "packed", "keep")
     )
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(finish, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
+    schema = schema_of(extra, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    done = joined.mapInArrow(finish, schema)
+    shown = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    return done.select(F.col("id").cast(kind).alias(key), *shown, *[F.col("extra")[c].alias(c) for c in carry])
 
 
 def _cut(texts: list[bytes], keep: list[list[bytes] | None], sketch: Sketch, width: int, with_text: bool) -> list[tuple]:

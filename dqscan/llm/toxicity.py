@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, pieces, small_batches
+from .common import on_workers, pieces, schema_of, small_batches
 
 #: Terms that name groups of people; a counterfactual swaps a term for the next one of its row.
 IDENTITY_TERMS = (
@@ -209,5 +209,5 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFr
             z = np.array([c.logit(words_of(t), memory) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-z)))], names=["row", "score"])
 
-    done = work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, score double")
+    done = work.mapInArrow(run, schema_of(work.select("row").schema, "score double"))
     return done.select(*[F.col("row")[c].alias(c) for c in names], "score")
