@@ -45,13 +45,14 @@ BARE_ID = r"^\d+$"
 
 
 def spread(pattern: str) -> str:
-    """A pattern for Java with Python's reach: digits and white space of all scripts."""
+    """A pattern for Java with Python's reach: digits, word characters and white space of all scripts."""
+    reach = {"d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "s": r"\s\p{Z}\x0B\x1C-\x1F\x{85}"}
     out, inside, i = [], False, 0
     while i < len(pattern):
         c = pattern[i]
-        if c == "\\" and pattern[i + 1] in "ds":
-            body = r"\p{Nd}" if pattern[i + 1] == "d" else r"\s\p{Z}\x0B\x1C-\x1F\x{85}"
-            out.append(body if inside or pattern[i + 1] == "d" else f"[{body}]")
+        if c == "\\" and pattern[i + 1 : i + 2].lower() in reach:
+            body = reach[pattern[i + 1].lower()]
+            out.append(f"[^{body}]" if pattern[i + 1].isupper() else body if inside else f"[{body}]")
             i += 2
             continue
         if c == "\\":
