@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
         rows = np.empty(len(doc), EXCEPTION)
         rows["place"], rows["mark"], rows["bits"] = place[order], mark[order], bits[order]
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-        ends = np.r_[first[1:], len(doc)]
+        ends = np.r_[first, len(doc)][1:]
         return pa.table({"id": pa.array(doc[first], pa.int64()), "keep": pa.array([rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
     keep = (

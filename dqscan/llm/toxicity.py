@@ -97,7 +97,7 @@ def fit(
     max_features: int = 4000,
     min_gain: float = 5.0,
     min_docs: int = 3,
-    steps: int = 300,
+    steps: int = 1500,
 ) -> Classifier:
     """Full-batch fit by accelerated gradient descent of
     mean log loss + penalty * mean squared change of the logit under a swap + l2 * |w|^2 / (2 n)."""
@@ -148,12 +148,14 @@ def fit(
             dval.append(np.full(len(part), sign))
     drow, dcol, dval = np.concatenate(drow), np.concatenate(dcol), np.concatenate(dval)
     size = len(index)
-    per_doc = np.bincount(rows, minlength=n).max() + 1
-    per_pair = (np.bincount(drow, minlength=1).max() + 1) if len(drow) else 0
-    rate = 1 / (0.25 * min(per_doc, 400) + 2 * penalty * per_pair * len(pairs) / n + l2 / n)
+    inverse = 1 / np.sqrt(np.bincount(cols, minlength=size) / n + 1e-6)  # rare features take larger steps
+    # The step is bounded by the largest curvature that a text or a pair can add, which rules out divergence.
+    steepest = 0.25 * (1 + np.bincount(rows, inverse[cols], n).max(initial=0)) + l2 / n * inverse.max(initial=0)
+    if len(pairs):
+        steepest += 2 * penalty * len(pairs) / n * np.bincount(drow, dval**2 * inverse[dcol], len(pairs)).max()
+    rate = 1 / steepest
     w, bias, v, vb = np.zeros(size), float(np.log(n1 / (n - n1))), np.zeros(size), 0.0
     v, vb, t = w.copy(), bias, 1.0
-    scale = np.sqrt(np.bincount(cols, minlength=size) / n + 1e-6)  # rare features take larger steps
     for _ in range(steps):
         z = vb + np.bincount(rows, v[cols], n)
         g = (1 / (1 + np.exp(-z)) - y) / n
@@ -161,7 +163,7 @@ def fit(
         if len(pairs):
             change = np.bincount(drow, dval * v[dcol], len(pairs))
             grad += 2 * penalty * np.bincount(dcol, dval * change[drow], size) / n
-        new, new_b = v - rate * grad / scale, vb - 4 * rate * g.sum()
+        new, new_b = v - rate * inverse * grad, vb - rate * g.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - bias)
         w, bias, t = new, new_b, t2

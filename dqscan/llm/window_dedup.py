@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
         order = np.argsort(doc[one], kind="stable")
         doc, keys = doc[one][order], np.stack([high[one][order], low[one][order]], 1)
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-        ends = np.r_[first[1:], len(doc)]
+        ends = np.r_[first, len(doc)][1:]
         return pa.table({"id": pa.array(doc[first], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
     wrong = (
