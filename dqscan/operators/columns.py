@@ -90,8 +90,10 @@ def _by_type(types: dict[str, str], label) -> Column:
 
 def format_distribution(vals: DataFrame, types: dict[str, str]) -> DataFrame:
     """(field, label, n, first_row) for fields of dates, phones and amounts."""
-    labelled = vals.withColumn("label", _by_type(types, lambda kind: P.format_label(F.col("v"), kind)))
-    return labelled.where("label is not null").groupBy("field", "label").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+    typed = [c for c, kind in types.items() if kind in P.FORMATS]
+    # Filtered by field: a filter on the label would work it out a second time.
+    labelled = vals.where(F.col("field").isin(*typed)).withColumn("label", _by_type(types, lambda kind: P.format_label(F.col("v"), kind)))
+    return labelled.groupBy("field", "label").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
 
 
 def mixed_formats(distribution: DataFrame) -> DataFrame:
