@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqscan.functions import text as X
-from dqscan.operators.columns import ROW
+from dqscan.operators.columns import ROW, frequencies
 from dqscan.plans.spool import spool
 
 
-def content_columns(df: DataFrame, types: dict[str, str] | None = None) -> tuple[list[str], list[str], list[str]]:
-    """(ids, content, signature columns): one aggregation over the table, whose distinct counts are all taken at once."""
+def content_columns(df: DataFrame, types: dict[str, str] | None = None, freq: DataFrame | None = None) -> tuple[list[str], list[str], list[str]]:
+    """(ids, content, signature columns), from the distinct values and normal forms of each column.
+
+    Both are counted off the value frequencies, as one count of distincts a column would copy every
+    row for each of them.
+    """
     types = types or {}
     columns = [c for c in df.columns if c != ROW]
-    named = [F.col(f"`{c}`") for c in columns]
-    counts = df.agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(f"r{i}") for i, c in enumerate(named)], *[F.countDistinct(X.collapsed(c)).alias(f"s{i}") for i, c in enumerate(named)]).first()
-    ids = [c for i, c in enumerate(columns) if types.get(c) == "id" or counts[f"r{i}"] == counts["n"]]
+    freq = frequencies(df) if freq is None else freq
+    forms = freq.groupBy("field", X.collapsed(F.col("raw")).alias("form")).agg(F.count("raw").alias("raws"), F.sum("n").alias("n"))
+    rows = forms.groupBy("field").agg(F.sum("raws").alias("raws"), F.count("*").alias("forms"), F.sum("n").alias("n")).collect()
+    of = {r["field"]: (r["raws"], r["forms"], r["n"]) for r in rows}
+    raws, normal, total = ({c: of.get(c, (0, 0, 0))[k] for c in columns} for k in range(3))
+    ids = [c for c in columns if types.get(c) == "id" or raws[c] == total[c]]
     content = [c for c in columns if c not in ids] or columns
-    return ids, content, [c for c in content if counts[f"s{columns.index(c)}"] < counts["n"]]
+    return ids, content, [c for c in content if normal[c] < total[c]]
 
 
 def _raw(c: str) -> Column:

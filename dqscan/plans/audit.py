@@ -110,7 +110,7 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
     sheet: dict = {"row_count": total, "col_count": len(columns), "fields": {}, "phantom_duplicates": [], "fuzzy_duplicates": []}
     for c in columns:
         sheet["fields"][c] = {"inferred_type": types[c], "null_analysis": null_info[c], "issues": issues[c], "profile": _profile(profile.get(c), total)}
-    groups = _duplicates(df, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise)
+    groups = _duplicates(df, freq, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise)
     sheet["schema_violations"] = validate_schema(sheet, schema, name) if schema else []
     counts.update(v["severity"] for v in sheet["schema_violations"])
     sheet["severity_counts"] = {s: counts[s] for s in ("High", "Medium", "Low")}
@@ -128,11 +128,11 @@ def _profile(p: dict | None, total: int) -> dict:
     return out | {k: round(p[k], 2) for k in ("numeric_min", "numeric_max", "numeric_mean", "numeric_median") if p[k] is not None}
 
 
-def _duplicates(df: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None) -> Counter:
+def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None) -> Counter:
     kinds: Counter[str] = Counter()
     if total < 2:
         return kinds
-    ids, content, signature = D.content_columns(df, types)
+    ids, content, signature = D.content_columns(df, types, freq)
     first_six = [c for c in df.columns if c != C.ROW][:6]
 
     def describe(groups: DataFrame, member: DataFrame, matched_on: list[str]) -> list[dict]:
