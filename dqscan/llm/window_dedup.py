@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +161,21 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
         .agg(F.collect_list("keys").alias("single"))
     )
 
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            view, cuts = memoryview(data.tobytes()), offsets.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press.compress(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["id", "packed"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "packed", 1 << 20):
+            whole = zstandard.ZstdDecompressor()
+            texts = pa.array([whole.decompress(b) for b in batch.column("packed").to_pylist()], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("single")], names=["id", "text", "single"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(opened(batches), "text", 2 << 20):
             data, offsets = text_bytes(batch.column("text"))
             w = Windows(data, offsets, width)
             hit = shared.value.repeated(w.high)
@@ -190,6 +204,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    joined = rows.withColumn("k", F.coalesce("id", F.lit(-(2**63)))).join(wrong.withColumnRenamed("id", "k"), "k", "left").select("id", "text", "single")
+    joined = rows.mapInArrow(squeezed, "id long, packed binary").withColumn("k", F.coalesce("id", F.lit(-(2**63)))).join(wrong.withColumnRenamed("id", "k"), "k", "left").select("id", "packed", "single")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(finish, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
