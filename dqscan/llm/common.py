@@ -7,7 +7,6 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -262,6 +261,3 @@ class Sketch:
             out &= (self.rows[row][(cells >> np.uint64(3)).astype(np.int64)] >> (7 - (cells & np.uint64(7)).astype(np.uint8))) & 1 > 0
         return out
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

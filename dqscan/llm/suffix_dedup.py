@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, BASE_B, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, schema_of, small_batches, span_hash, text_bytes
+from .common import BASE_A, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, schema_of, small_batches, span_hash, text_bytes
 
 GRAM = 40
 SHALLOW = 24
