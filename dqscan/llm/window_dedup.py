@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
             parts = list(sketch.parts(np.concatenate(held)))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["shard", "cells"])
 
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             w = Windows(*text_bytes(batch.column("text")), width)
             held.append(w.high)
             n += len(w.high)
@@ -132,13 +132,13 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
             own = [(k, a, b) for k, (a, b) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(high)], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array([_packed(high[a:b], low[a:b], doc[a:b], times[a:b]) for _, a, b in own], pa.binary())], names=["shard", "keys"])
 
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             w = Windows(*text_bytes(batch.column("text")), width)
             hit = shared.value.repeated(w.high)
             if hit.any():
                 held.append((w.high[hit], w.low[hit], ids_of(batch.column("id"))[w.text[hit]], np.ones(hit.sum(), np.uint8)))
                 n += int(hit.sum())
-            if n > HELD // 2:
+            if n > HELD // 4:
                 yield send()
                 held, n = [], 0
         if n:
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("single")], names=["id", "text", "single"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(opened(batches), "text", 2 << 20):
+        for batch in pieces(opened(batches), "text", 1 << 20):
             data, offsets = text_bytes(batch.column("text"))
             w = Windows(data, offsets, width)
             hit = shared.value.repeated(w.high)
