@@ -247,7 +247,7 @@ class Sketch:
         size = (1 << self.bits) // 8
         rows = [np.zeros(size, np.uint8) for _ in range(self.depth)]
         each = (1 << self.shard_bits) // 8
-        for r in parts.groupBy("shard").applyInArrow(one, "shard long, bits binary").collect():
+        for r in parts.groupBy("shard").applyInArrow(one, "shard long, bits binary").toLocalIterator():
             at = (r["shard"] & ((1 << 40) - 1)) * each
             rows[r["shard"] >> 40][at : at + each] = np.frombuffer(r["bits"], np.uint8)
         self.rows = rows
