@@ -71,11 +71,12 @@ def row_text(content: list[str]) -> Column:
     return F.concat_ws("||", *[X.edit_text(F.col(f"`{c}`")) for c in content])
 
 
-def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500, most_candidates: int = 50) -> DataFrame:
+def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500, most_candidates: int | None = None) -> DataFrame:
     """Pairs (a, b) of (row_idx, s) rows that share character k-grams: two of them, or one if the shorter text has under nine characters.
 
-    Grams of over `most_postings` rows are stop words. A pair counts if it is among the
-    `most_candidates` best of either row by shared grams, ties by row number.
+    Grams of over `most_postings` rows are stop words. Every such pair is kept; with
+    `most_candidates`, only those among that many best of both rows by shared grams, ties by row
+    number, which loses rows of large families.
     """
     grams = F.when(F.length("s") < k, F.array("s")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - (k - 1)), lambda i: F.substring("s", i, F.lit(k)))))
     posted = rows.select(ROW, F.length("s").alias("size"), F.explode(grams).alias("gram"))
@@ -85,11 +86,13 @@ def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500, most_
     right = posted.select("gram", F.col(ROW).alias("b"), F.col("size").alias("size_b"))
     pairs = left.join(right, "gram").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("size_a", "size_b")).alias("shorter"))
     pairs = pairs.where(F.col("shared") >= F.when(F.col("shorter") < 9, 1).otherwise(2))
+    if most_candidates is None:
+        return pairs.select("a", "b", "shared")
     rank = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("shared"), "a", "b"))
     return pairs.withColumn("ra", rank("a")).withColumn("rb", rank("b")).where((F.col("ra") <= most_candidates) & (F.col("rb") <= most_candidates)).select("a", "b", "shared")
 
 
-def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500, n: int | None = None) -> DataFrame:
+def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500, n: int | None = None, most_candidates: int | None = None) -> DataFrame:
     """(a, b, distance, size) of pairs whose edit similarity reaches the threshold.
 
     Small tables are compared pair by pair, larger ones by the candidates of shared grams. The
@@ -100,7 +103,7 @@ def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500
     if n <= brute_force:
         pairs = F.broadcast(left).join(right, F.col("a") < F.col("b"))  # at most `brute_force` rows a side
     else:
-        pairs = gram_candidates(rows).join(left, "a").join(right, "b")
+        pairs = gram_candidates(rows, most_candidates=most_candidates).join(left, "a").join(right, "b")
     size = F.greatest(F.length("sa"), F.length("sb"))
     allowed = F.floor((1 - F.lit(threshold)) * size + 1e-9).cast("int")
     pairs = pairs.select("a", "b", "sa", "sb", size.alias("size"), allowed.alias("allowed")).where(F.abs(F.length("sa") - F.length("sb")) <= F.col("allowed"))

@@ -209,11 +209,11 @@ def fingerprint_groups(spark, sf_dir):
 
 
 def gram_candidates(spark, sf_dir):
-    return D.gram_candidates(names(spark, sf_dir))
+    return D.gram_candidates(names(spark, sf_dir), most_candidates=50)  # as its SQL
 
 
 def close_pairs(spark, sf_dir):
-    p = D.close_pairs(names(spark, sf_dir), 0.9, n=10**6)
+    p = D.close_pairs(names(spark, sf_dir), 0.9, n=10**6, most_candidates=50)  # as its SQL
     return p.select("a", "b", F.col("distance").cast("long").alias("distance"), F.col("size").cast("long").alias("size"))
 
 

@@ -138,6 +138,15 @@ def test_grams_find_close_rows(spark):
     assert pairs <= every
 
 
+def test_large_families_keep_all_their_pairs(spark):
+    texts = [f"warehouse item {'abcdefghijklmnopqrst'[i % 20]}{'0123456789'[i // 20]}" for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_idx long, s string")
+    pairs = {(r["a"], r["b"]) for r in D.close_pairs(rows, 0.85, brute_force=0).collect()}
+    assert pairs == set(itertools.combinations(range(200), 2))
+    groups = D.seed_groups(D.close_pairs(rows, 0.85, brute_force=0)).collect()
+    assert {r["row_idx"] for r in groups} == set(range(1, 200)) and {r["seed"] for r in groups} == {0}
+
+
 def test_fingerprints_skip_groups_that_are_known(spark):
     df = frame(spark, [("John Smith",), ("Smith John",), ("Jane Doe",), ("O'Brien & Co.",), ("OBrien Co",)], ["n"])
     assert {r["first_row"] for r in D.fingerprint_groups(df, ["n"]).collect()} == {0, 3}
