@@ -3,15 +3,18 @@
 A line that begins with `>` marks quotes; the number of marks, which blanks may separate, is its
 level. Neighbouring lines of one level are a passage. Passages and the unquoted parts of messages
 are normalised (lower case, letters and digits alone, single blanks) and hashed; a quoted passage is
-linked to the latest earlier message of its conversation that says the same without quoting it, in
-whole or as one of its paragraphs. A message replies to the message that its shallowest linked quote
+linked to the latest earlier message of its conversation that says the same without quoting it, as a
+run of whole lines: one line, one or several paragraphs, or all of it, however the quote is wrapped.
+A passage that no message says as one run is linked through the longest of its paragraphs that one
+does say, and else of its lines. A message replies to the message that its shallowest linked quote
 comes from; without one it replies to the message before it. Conversations are laid out in reply
 order: each message behind the one it answers, answers to the same message by turn.
 
 Edge cases: null texts are empty messages; a null role reads `unknown`; rows without conversation or
 turn can't be ordered and are left out; repeated rows of a conversation and turn are kept and
 ordered by their text; quotes that nothing matches are removed and counted as unlinked; an empty
-table gives an empty one; other columns aren't read.
+table gives an empty one; other columns aren't read. In conversations that hold quotes the work on a
+message grows with the square of its lines.
 """
 
 from __future__ import annotations
@@ -31,6 +34,31 @@ def key_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
 
 
+def n_words(text: Column) -> Column:
+    """Words of a normalised passage."""
+    return F.when(F.length(text) > 0, F.size(F.split(text, " "))).otherwise(0)
+
+
+def pieces_of(passage: Column) -> Column:
+    """[(grain, text)]: the passage, its paragraphs if it has several, and its lines if it has several."""
+
+    def cut(grain: int, parts: Column) -> Column:
+        made = F.transform(parts, lambda x: F.struct(F.lit(grain).alias("grain"), normalised(x).alias("text")))
+        return F.when(F.size(parts) > 1, made).otherwise(F.slice(made, 1, 0))
+
+    return F.concat(F.array(F.struct(F.lit(0).alias("grain"), normalised(passage).alias("text"))), cut(1, F.split(passage, r"\n\s*\n")), cut(2, F.split(passage, r"\n")))
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
+    """conv, source, key of the runs of whole lines of `said` that have one of the numbers of words in `lengths`."""
+    lines = F.filter(F.transform(F.split("said", r"\n"), lambda x: F.split(normalised(x), " ")), lambda x: x != F.array(F.lit("")))
+    rows = rows.select("conv", F.col("turn").alias("source"), "lengths", lines.alias("lines"))
+    ends = F.aggregate("lines", F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.size(x))))
+    rows = rows.select("conv", "source", "lengths", F.flatten("lines").alias("words"), ends.alias("ends"))  # `ends` begins with 0, the start of the first line
+    runs = F.flatten(F.transform("ends", lambda s: F.transform(F.array_intersect(F.col("lengths"), F.transform("ends", lambda e: e - s)), lambda n: F.array_join(F.slice("words", s + 1, n), " "))))
+    return rows.select("conv", "source", F.explode(runs).alias("run")).select("conv", "source", key_of(F.col("run")).alias("key")).distinct()
+
+
 def level_of(line: Column) -> Column:
     marks = F.regexp_extract(line, r"^((?:[ \t]*>)*)", 1)
     return F.length(F.regexp_replace(marks, r"[^>]", ""))
@@ -50,7 +78,7 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.array().cast("array<struct<level:int,passage:string>>"),
         lambda done, x: F.when(
             (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["level"] == x["level"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.get(done, F.size(done) - 1)["passage"], x["line"]).alias("passage")))),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", F.get(done, F.size(done) - 1)["passage"], x["line"]).alias("passage")))),
         ).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["line"].alias("passage"))))),
     )
     quotes = F.filter(grown, lambda x: x["level"] > 0)
@@ -61,16 +89,19 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def conversations(messages: DataFrame, **columns: str) -> DataFrame:
     """One row a message: conv_id, turn, role, said, reply_to (turn or null), n_quotes, n_linked, reply_path, reply_order."""
     rows = parsed(messages, **columns)
-    quoting = rows.where(F.size("quotes") > 0).select("conv", "turn", "n", F.posexplode("quotes").alias("at", "q")).select("conv", "turn", "n", "at", F.col("q.level").alias("level"), key_of(normalised(F.col("q.passage"))).alias("key")).where("key is not null")
-    # Whatever a message says can be quoted: the whole of it, or a paragraph.
-    asked = quoting.select("conv").distinct()
-    units = F.array_distinct(F.concat(F.array("said"), F.split("said", r"\n+")))
-    sources = rows.join(asked, "conv", "left_semi").select("conv", F.col("turn").alias("source"), F.explode(units).alias("unit")).select("conv", "source", key_of(normalised(F.col("unit"))).alias("key")).where("key is not null").distinct()
+    quoting = rows.where(F.size("quotes") > 0).select("conv", "turn", "n", F.posexplode("quotes").alias("at", "q")).select("conv", "turn", "n", "at", F.col("q.level").alias("level"), F.explode(pieces_of(F.col("q.passage"))).alias("p"))
+    quoting = quoting.select("conv", "turn", "n", "at", "level", "p.grain", n_words(F.col("p.text")).alias("words"), key_of(F.col("p.text")).alias("key")).where("key is not null")
+    asked = quoting.groupBy("conv").agg(F.collect_set("words").alias("lengths"))
+    # Sources and quotes of a key lie in one order, so that a line said and quoted often makes no pairs.
+    sources = runs_of(rows.join(asked, "conv")).withColumn("turn", F.col("source"))
+    earlier = F.max("source").over(Window.partitionBy("conv", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
     linked = (
-        quoting.join(sources, ["conv", "key"])
-        .where("source < turn")
+        quoting.unionByName(sources, allowMissingColumns=True)
+        .withColumn("found", earlier)
+        .where("at is not null and found is not null")
         .groupBy("conv", "turn", "n", "at", "level")
-        .agg(F.max("source").alias("source"))
+        .agg(F.max(F.struct(-F.col("grain"), "words", "found")).alias("best"))
+        .select("conv", "turn", "n", "at", "level", F.col("best.found").alias("source"))
         .groupBy("conv", "turn", "n")
         .agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("source")).alias("late"), "at")).alias("best"))
         .select("conv", "turn", "n", "n_linked", (-F.col("best.late")).alias("quoted"))

@@ -160,6 +160,18 @@ def test_quotes(spark):
     assert chat_quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_of_several_lines(spark):
+    first, second = "p1 line one,\np1 line two\n\np2 stands alone", "Alpha is here\n\nBeta follows\nwrapped\n\nGamma ends"
+    quotes = [
+        ("> p1 line one,\n> p1 line two", 0, 1), ("> Alpha is here\n>\n> Beta follows\n> wrapped", 1, 1), ("> Beta follows wrapped\n>\n> Gamma\n> ends", 1, 1), ("> wrapped\n> \n> Gamma ends", 1, 1),
+        ("> Alpha is here\n>\n> Gamma ends", 1, 1), ("> p1 line two\n> [...]", 0, 1), ("> p1 line\n> one p1", 0, 0), ("> Beta follows\n> Alpha is here\n>> p2 stands\n>> alone", 1, 2), (">\n> line two", None, 0),
+    ]
+    rows = [(c, t, "user", x) for c, (q, _, _) in enumerate(quotes) for t, x in enumerate((first, second, "between", q + "\nreply"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: (r["reply_to"], r["n_linked"]) for r in chat_quotes.conversations(df).where("turn = 3").collect()}
+    assert got == {c: (to if n else 2, n) for c, (_, to, n) in enumerate(quotes)}
+
+
 def test_edited_texts(spark):
     rnd = random.Random(3)
     docs = [(3 * i, " ".join("".join(rnd.choice("abcdeéf") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.choice([0, 2, 5, 40, 300])))) for i in range(60)]
