@@ -23,6 +23,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--rules")
     p.add_argument("--sarif", action="store_true")
     p.add_argument("--export-fixes", action="store_true")
+    p.add_argument("--tables", help="folder of the Parquet tables of all findings and duplicate groups; a temporary one by default")
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--fail-under", type=int)
     p.add_argument("--max-rows", type=int, help="refuse larger tables unless --force; none by default")
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     every = []
     for p in paths:
         say(f"auditing {p}")
-        r = run_audit(spark, p, args.threshold, args.schema, args.baseline, args.rules)
+        r = run_audit(spark, p, args.threshold, args.schema, args.baseline, args.rules, tables=args.tables)
         every.append(r)
         stem = Path(p).stem
         reports.generate_html(r, str(out / f"{stem}_audit_report.html"))
@@ -65,6 +66,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         reports.generate_pdf(r, str(out / f"{stem}_audit_report.pdf"))
         if args.json:
             reports.generate_json(r, str(out / f"{stem}_audit_results.json"))
+        for name, s in r["sheets"].items():
+            for kind, at in s["full_tables"].items():
+                say(f"{name}: all {kind} in {at}")
         for w in r.get("warnings", []):
             say(f"warning: {w}")
     if args.generate_schema:

@@ -15,6 +15,9 @@ def load_baseline(path: str) -> dict:
 
 
 def severities(sheet: dict) -> Counter:
+    """Findings by severity. The lists may be cut, so they are counted only in results without counts."""
+    if "severity_counts" in sheet:
+        return Counter({s: n for s, n in sheet["severity_counts"].items() if n})
     out = Counter(i.get("severity", "Medium") for f in sheet.get("fields", {}).values() for i in f.get("issues", []))
     for part in ("phantom_duplicates", "fuzzy_duplicates", "schema_violations"):
         out.update(x.get("severity", "Medium") for x in sheet.get(part, []))

@@ -96,6 +96,8 @@ class SheetResult:
     duplicates: list[Duplicate]
     fuzzy_duplicates: list[FuzzyDuplicate]
     schema_violations: list[SchemaViolation]
+    severity_counts: dict[str, int] = field(default_factory=dict)
+    full_tables: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -125,8 +127,7 @@ class AuditResult:
         return [x for s in self.sheets for f in s.fields for x in f.findings]
 
     def _of(self, severity: str | None = None) -> int:
-        every = [x.severity for x in self.findings] + [d.severity for s in self.sheets for d in [*s.duplicates, *s.fuzzy_duplicates, *s.schema_violations]]
-        return len(every) if severity is None else every.count(severity)
+        return sum(n for s in self.sheets for k, n in s.severity_counts.items() if severity in (None, k))
 
     @property
     def total_issues(self) -> int:
@@ -191,14 +192,14 @@ def typed(results: dict) -> AuditResult:
         ]
         dups = [Duplicate(d["rows"], d["group_size"], d["exact_match"], d["severity"], d["matched_on"], d["sample_data"], _fix(d)) for d in s["phantom_duplicates"]]
         fuzzy = [FuzzyDuplicate(d["rows"], d["group_size"], d["severity"], d["match_method"], d["similarity_threshold"], d["matched_on"], d["sample_data"], _fix(d)) for d in s["fuzzy_duplicates"]]
-        sheets.append(SheetResult(name, s["row_count"], s["col_count"], s["health_score"], fields, dups, fuzzy, [SchemaViolation(**v) for v in s["schema_violations"]]))
+        sheets.append(SheetResult(name, s["row_count"], s["col_count"], s["health_score"], fields, dups, fuzzy, [SchemaViolation(**v) for v in s["schema_violations"]], s["severity_counts"], s["full_tables"]))
     t = results.get("trend")
     trend = TrendData(**{k: t[k] for k in TrendData.__dataclass_fields__}) if t else None
     return AuditResult(results["input_file"], results["audit_timestamp"], results["overall_score"], sheets, results.get("warnings", []), trend, results)
 
 
-def audit_file(spark: SparkSession, path: str, fuzzy_threshold: float = 0.85, schema_path: str | None = None, baseline_path: str | None = None, rules_path: str | None = None) -> AuditResult:
-    return typed(run_audit(spark, path, fuzzy_threshold, schema_path, baseline_path, rules_path))
+def audit_file(spark: SparkSession, path: str, fuzzy_threshold: float = 0.85, schema_path: str | None = None, baseline_path: str | None = None, rules_path: str | None = None, **options) -> AuditResult:
+    return typed(run_audit(spark, path, fuzzy_threshold, schema_path, baseline_path, rules_path, **options))
 
 
 def audit_table(df: DataFrame, name: str = "table", **options) -> AuditResult:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter, defaultdict
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from dqscan.operators import rules as R
 from dqscan.operators import scoring as S
 from dqscan.operators.fixes import generate_dup_fix, generate_fix
 from dqscan.operators.schema import load_schema, validate_schema
-from dqscan.operators.trend import compute_trend, load_baseline
-from dqscan.plans.spool import spool
+from dqscan.operators.trend import compute_trend, load_baseline, severities
+from dqscan.plans.spool import keep, spool
 from dqscan.sources.files import load_sheets
 
 WHY_IT_MATTERS = {
@@ -35,8 +37,12 @@ WHY_IT_MATTERS = {
 }
 
 
-def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float = 0.85, rules: list[R.Rule] | None = None, schema: dict | None = None, max_listed: int = 1000, max_pairwise: int | None = 50_000) -> dict:
-    """Results of one sheet. Long lists are cut at `max_listed`; counts and scores are of everything."""
+def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float = 0.85, rules: list[R.Rule] | None = None, schema: dict | None = None, max_listed: int = 1000, max_pairwise: int | None = 50_000, tables: str | None = None) -> dict:
+    """Results of one sheet. Long lists are cut at `max_listed`; counts and scores are of everything.
+
+    All findings and all rows of all duplicate groups are Parquet tables under `tables` (the shared
+    folder by default), whose paths are in `full_tables`.
+    """
     df = C.with_row_idx(C.as_text(df))
     columns = [c for c in df.columns if c != C.ROW]
     freq = spool(C.frequencies(df))
@@ -76,7 +82,7 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
         detail |= {"field_type": types[c], "format_distribution": dict(by_label[c]), "inconsistent_pct": S.percent(r["inconsistent_count"], r["total"]), "sample_nonstandard": [x["v"] for x in odd.collect()]}
         add(c, "mixed_format", detail, why=WHY_IT_MATTERS[f"mixed_format_{types[c]}"])
 
-    wrong = C.misused_cells(df, types)
+    wrong = spool(C.misused_cells(df, types))
     kinds = {(r["field"], r["issue"]): r["n"] for r in wrong.groupBy("field", "issue").agg(F.count("*").alias("n")).collect()}
     for (c, issue), n in sorted(kinds.items(), key=lambda x: (columns.index(x[0][0]), x[0][1])):
         listed = wrong.where((F.col("field") == c) & (F.col("issue") == issue)).orderBy(C.ROW).limit(max_listed).collect()
@@ -89,12 +95,12 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
         add(r["field"], "wrong_purpose", {"issue": "Mixed ID formats", "example": " vs ".join(f"{n} {shown[k]}" for n, k in parts), "row": None})
     for r in C.mixed_booleans(vals, types).collect():
         add(r["field"], "wrong_purpose", {"issue": "Mixed boolean representations", "example": r["spellings"], "row": None})
-    casing = C.mixed_casing(vals, types)
+    casing = spool(C.mixed_casing(vals, types))
     n_casing = {r["field"]: r["n"] for r in casing.groupBy("field").agg(F.count("*").alias("n")).collect()}
     for c, n in n_casing.items():
         listed = casing.where(F.col("field") == c).orderBy("first_row").limit(max_listed).collect()
         for r in listed:
-            add(c, "wrong_purpose", {"issue": "Inconsistent casing in categorical values", "example": r["spellings"], "row": None})
+            add(c, "wrong_purpose", {"issue": CASING, "example": r["spellings"], "row": None})
         counts["High"] += n - len(listed)
     for kind, found in (("placeholder_value", C.placeholder_values(vals)), ("suspicious_repetition", C.repeated_values(vals))):
         for r in found.orderBy("field", "rank").collect():
@@ -107,10 +113,14 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
                 issues[r["field"]].append(found)
                 counts[rule.severity] += 1
 
-    sheet: dict = {"row_count": total, "col_count": len(columns), "fields": {}, "phantom_duplicates": [], "fuzzy_duplicates": []}
+    sheet: dict = {"row_count": total, "col_count": len(columns), "fields": {}, "phantom_duplicates": [], "fuzzy_duplicates": [], "full_tables": {}}
     for c in columns:
         sheet["fields"][c] = {"inferred_type": types[c], "null_analysis": null_info[c], "issues": issues[c], "profile": _profile(profile.get(c), total)}
-    groups = _duplicates(df, freq, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise)
+    whole: list[DataFrame] = []
+    groups = _duplicates(df, freq, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise, whole)
+    if whole:
+        sheet["full_tables"]["groups"] = keep(reduce(DataFrame.unionByName, whole), f"{_file_name(name)}-groups", tables)
+    sheet["full_tables"]["findings"] = keep(_all_findings(wrong, casing, issues), f"{_file_name(name)}-findings", tables)
     sheet["schema_violations"] = validate_schema(sheet, schema, name) if schema else []
     counts.update(v["severity"] for v in sheet["schema_violations"])
     sheet["severity_counts"] = {s: counts[s] for s in ("High", "Medium", "Low")}
@@ -118,6 +128,25 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
     return sheet
 
 
+def _file_name(sheet: str) -> str:
+    return re.sub(r"[^A-Za-z0-9]+", "_", sheet)
+
+
+CASING = "Inconsistent casing in categorical values"
+
+
+def _all_findings(wrong: DataFrame, casing: DataFrame, issues: dict[str, list[dict]]) -> DataFrame:
+    """field, type, severity, issue, example, row_idx of every finding on a column, listed or not."""
+    from dqscan.plans.api import describe
+
+    schema = "field string, type string, severity string, issue string, example string, row_idx bigint"
+    long = {CASING, *(r["issue"] for r in wrong.select("issue").distinct().collect())}
+    few = [(c, i.get("rule_name", i["type"]), i["severity"], describe(i), None, None) for c, found in issues.items() for i in found if not (i["type"] == "wrong_purpose" and i["detail"]["issue"] in long)]
+    row = lambda d, issue, example, at: d.select("field", F.lit("wrong_purpose").alias("type"), F.lit("High").alias("severity"), issue.alias("issue"), F.col(example).alias("example"), at.cast("long").alias("row_idx"))
+    cells = row(wrong, F.col("issue"), "example", F.col(C.ROW)).unionByName(row(casing, F.lit(CASING), "spellings", F.lit(None)))
+    return cells.unionByName(wrong.sparkSession.createDataFrame(few, schema))
+
+
 def _profile(p: dict | None, total: int) -> dict:
     if p is None:
         return {"cardinality": 0, "uniqueness_pct": 0, "total_values": total, "non_empty_values": 0, "min_length": 0, "max_length": 0, "avg_length": 0}
@@ -128,7 +157,7 @@ def _profile(p: dict | None, total: int) -> dict:
     return out | {k: round(p[k], 2) for k in ("numeric_min", "numeric_max", "numeric_mean", "numeric_median") if p[k] is not None}
 
 
-def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None) -> Counter:
+def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None, whole: list[DataFrame]) -> Counter:
     kinds: Counter[str] = Counter()
     if total < 2:
         return kinds
@@ -147,6 +176,10 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
             out.append({"rows": [r + 2 for r in own], "group_size": g["group_size"], "sample_data": [{c: cells[r][c] for c in first_six} for r in own[:3]], "matched_on": matched_on, "excluded_id_cols": ids})
         return out
 
+    def record(kind, groups: DataFrame, member: DataFrame):
+        """All rows of all groups: kind, first_row, group_size, row_idx."""
+        whole.append(member.join(groups.select("first_row", "group_size", kind.alias("kind")), "first_row").select("kind", "first_row", "group_size", F.col(C.ROW).alias("row_idx")))
+
     def enter(found: list[dict], part: str, kind_of):
         for d in found:
             kind = kind_of(d)
@@ -163,6 +196,7 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
             kinds["exact_duplicate" if r["exact_match"] else "phantom_duplicate"] += r["n"]
             counts[r["s"]] += r["n"]
         matched = spool(D.members(df, phantom, signature, X.collapsed))
+        record(F.when(F.col("exact_match"), "exact_duplicate").otherwise("phantom_duplicate"), phantom, matched)
         found = describe(phantom, matched, signature)
         for d, r in zip(found, phantom.orderBy("first_row").limit(listed).collect(), strict=True):
             d["exact_match"] = r["exact_match"]
@@ -170,6 +204,7 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
 
     prints = spool(D.fingerprint_groups(df, content, matched))
     by_print = spool(D.members(df, prints, content, X.token_print))
+    record(F.lit("fingerprint"), prints, by_print)
     found = describe(prints, by_print, content)
     n = prints.count()
     kinds["fuzzy_duplicate"] += n
@@ -190,6 +225,7 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
     grouped = spool(D.seed_groups(pairs).withColumnRenamed("seed", "first_row"))
     sizes = grouped.groupBy("first_row").agg((F.count("*") + 1).alias("group_size"))
     everyone = grouped.unionByName(sizes.select("first_row", F.col("first_row").alias(C.ROW)))
+    record(F.lit("levenshtein"), sizes, everyone)
     found = describe(sizes, everyone, content)
     n = sizes.count()
     kinds["fuzzy_duplicate"] += n
@@ -230,12 +266,11 @@ def run_multi_audit(spark: SparkSession, paths: list[str], **options) -> dict:
 
 
 def count_issues(results: dict) -> dict[str, int]:
-    """Issues in all, by severity, and schema violations."""
+    """Issues in all, by severity, and schema violations: of everything, listed or not."""
     out: Counter[str] = Counter()
     for sheet in results["sheets"].values():
-        every = [i["severity"] for f in sheet["fields"].values() for i in f["issues"]]
-        every += [d["severity"] for part in ("phantom_duplicates", "fuzzy_duplicates", "schema_violations") for d in sheet.get(part, [])]
+        every = severities(sheet)
         out.update(every)
-        out["total"] += len(every)
+        out["total"] += every.total()
         out["schema"] += len(sheet.get("schema_violations", []))
     return dict(out)

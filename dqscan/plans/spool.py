@@ -17,6 +17,13 @@ def shared_folder(df: DataFrame) -> str:
     return at
 
 
+def keep(df: DataFrame, name: str, folder: str | None = None) -> str:
+    """Writes df as a Parquet table that outlives the job, and gives its path; into the shared folder unless another is named."""
+    path = f"{folder or shared_folder(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def spool(df: DataFrame) -> DataFrame:
     """Writes df and reads it back, which ends its lineage."""
     path = f"{shared_folder(df)}/dqscan-{uuid.uuid4().hex}"

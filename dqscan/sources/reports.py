@@ -38,6 +38,19 @@ def rows_of(results: dict) -> list[dict]:
     return out
 
 
+def counts_of(results: dict) -> dict[str, int]:
+    """Findings by severity, those beyond the lists too."""
+    from dqscan.plans.audit import count_issues
+
+    every = count_issues(results)
+    return {s: every.get(s, 0) for s in ORDER}
+
+
+def full_tables(results: dict) -> list[list[str]]:
+    """Sheet, kind and path of the tables that hold what the lists may leave out."""
+    return [[n, kind, at] for n, s in results["sheets"].items() for kind, at in s.get("full_tables", {}).items()]
+
+
 def generate_json(results: dict, path: str) -> str:
     Path(path).write_text(json.dumps(results, indent=2, default=str), encoding="utf-8")
     return path
@@ -47,7 +60,7 @@ def generate_html(results: dict, path: str) -> str:
     e = lambda x: escape(str(x))
     score = results["overall_score"]
     rows, parts = rows_of(results), []
-    counts = {s: sum(r["severity"] == s for r in rows) for s in ORDER}
+    counts = counts_of(results)
     parts.append(
         f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Data quality: {e(results['input_file'])}</title><style>"
         "body{font:15px system-ui,sans-serif;max-width:70em;margin:2em auto;color:#222}details{border:1px solid #ccc;border-radius:6px;margin:.6em 0;padding:.5em 1em}"
@@ -56,6 +69,7 @@ def generate_html(results: dict, path: str) -> str:
         f"<h1>{e(results['input_file'])}</h1><div class='ring' style='--s:{score}'><b>{score}</b></div><p>{status(score)}, {e(results['audit_timestamp'])}</p>"
         "<p><input id='q' placeholder='Search' oninput='show()'> " + " ".join(f"<button onclick=\"only('{s}')\">{s} ({counts[s]})</button>" for s in ORDER) + " <button onclick=\"only('')\">All</button></p>"
     )
+    parts.extend(f"<p>{e(n)}: all {e(kind)} in {e(at)}</p>" for n, kind, at in full_tables(results))
     if t := results.get("trend"):
         parts.append(f"<p class='trend'>Score {t['previous_score']} to {t['current_score']} ({t['score_delta']:+}), issues {t['previous_issues']} to {t['current_issues']} ({t['issues_delta']:+})</p>")
     parts.append("<nav><ul>" + "".join(f"<li><a href='#s{k}'>{e(n)}</a></li>" for k, n in enumerate(results["sheets"])) + "</ul></nav>")
@@ -122,8 +136,9 @@ def write_xlsx(path: str, sheets: dict[str, list[list]], frozen: bool = True) ->
 
 def generate_excel(results: dict, path: str) -> str:
     rows = rows_of(results)
-    summary = [["File", results["input_file"]], ["Audited", results["audit_timestamp"]], ["Score", results["overall_score"]], ["Status", status(results["overall_score"])], *[[s, sum(r["severity"] == s for r in rows)] for s in ORDER]]
+    summary = [["File", results["input_file"]], ["Audited", results["audit_timestamp"]], ["Score", results["overall_score"]], ["Status", status(results["overall_score"])], *map(list, counts_of(results).items())]
     summary += [["Sheet", "Rows", "Columns", "Score"], *[[n, s["row_count"], s["col_count"], s["health_score"]] for n, s in results["sheets"].items()]]
+    summary += [[f"{n}: all {kind}", at] for n, kind, at in full_tables(results)]
     if t := results.get("trend"):
         summary += [["Previous score", t["previous_score"]], ["Score change", t["score_delta"]], ["Issue change", t["issues_delta"]]]
     found = [[r["sheet"], r["field"], r["inferred"], r["type"], r["severity"], r["text"], r["why"], r["fix"].get("strategy", ""), r["fix"].get("code", ""), r["profile"].get("cardinality", ""), r["profile"].get("uniqueness_pct", "")] for r in rows]
@@ -136,7 +151,7 @@ def generate_excel(results: dict, path: str) -> str:
 def generate_pdf(results: dict, path: str) -> str:
     """A plain document, a page or more a sheet; columns without issues are left out."""
     rows = rows_of(results)
-    pages: list[list[str]] = [[f"Data quality: {results['input_file']}", results["audit_timestamp"], f"Score {results['overall_score']} ({status(results['overall_score'])})", "", *[f"{s}: {sum(r['severity'] == s for r in rows)}" for s in ORDER]]]
+    pages: list[list[str]] = [[f"Data quality: {results['input_file']}", results["audit_timestamp"], f"Score {results['overall_score']} ({status(results['overall_score'])})", "", *[f"{s}: {n}" for s, n in counts_of(results).items()]]]
     for name, s in results["sheets"].items():
         lines = [f"{name}: {s['row_count']} rows, {s['col_count']} columns, score {s['health_score']}", ""]
         for r in (r for r in rows if r["sheet"] == name):
@@ -177,7 +192,7 @@ def sarif(all_results: list[dict]) -> dict:
             rule = f"custom/{r['type']}" if r["kind"] == "custom_rule" else r["kind"]
             rules.setdefault(rule, {"id": rule, "shortDescription": {"text": r["why"] or rule}})
             found.append({"ruleId": rule, "level": level[r["severity"]], "message": {"text": f"{r['sheet']}.{r['field']}: {r['text']}"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": results["input_file"]}}, "logicalLocations": [{"name": r["field"], "fullyQualifiedName": f"{r['sheet']}.{r['field']}"}]}]})
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "dqscan", "version": __version__, "rules": list(rules.values())}}, "results": found}]}
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "dqscan", "version": __version__, "rules": list(rules.values())}}, "results": found, "properties": {"allFindings": [{"sheet": n, "kind": kind, "path": at} for r in all_results for n, kind, at in full_tables(r)]}}]}
 
 
 def generate_sarif(all_results: list[dict], path: str) -> str:

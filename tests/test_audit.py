@@ -10,6 +10,7 @@ import zipfile
 import pytest
 
 from dqscan import cli
+from dqscan.operators.trend import compute_trend
 from dqscan.plans import catalogue
 from dqscan.plans.api import audit_file, audit_table
 from dqscan.plans.audit import count_issues, run_audit, run_multi_audit
@@ -116,6 +117,23 @@ def test_clean_and_single_row(spark):
     assert r.sheets[0].row_count == 1 and r.overall_score == 100 and not r.sheets[0].duplicates
 
 
+def test_totals_and_tables_hold_what_the_lists_leave_out(spark, tmp_path):
+    rows = [(f"REF-{i}", f"a{i % 3} same" if i < 60 else f"b{i * i}", f"k{i:04}") for i in range(90)]
+    df = spark.createDataFrame(rows, "Name string, Note string, Customer_ID string")
+    short, whole = (audit_table(df, max_listed=n, tables=str(tmp_path)) for n in (7, 1000))
+    assert len(short.findings) < 90 <= len(whole.findings)
+    assert (short.total_issues, short.high_issues, short.low_issues) == (whole.total_issues, whole.high_issues, whole.low_issues)
+    assert whole.total_issues == len(whole.findings) + len(whole.sheets[0].duplicates) + len(whole.sheets[0].fuzzy_duplicates)
+    assert count_issues(short.raw) == count_issues(whole.raw)
+    trend = compute_trend(short.raw, whole.raw)
+    assert trend["issues_delta"] == 0 and trend["current_issues"] == whole.total_issues
+    tables = {k: spark.read.parquet(p) for k, p in short.sheets[0].full_tables.items()}
+    assert tables["findings"].count() == len(whole.findings)
+    assert tables["findings"].where("issue like 'Code/ID%'").select("row_idx").distinct().count() == 90
+    wanted = sorted(x for d in [*whole.sheets[0].duplicates, *whole.sheets[0].fuzzy_duplicates] for x in d.rows)
+    assert wanted and sorted(r["row_idx"] + 2 for r in tables["groups"].collect()) == wanted
+
+
 def test_scores_are_weighted_by_rows(spark, messy):
     m = run_multi_audit(spark, [str(messy / "messy.csv"), str(messy / "messy.xlsx")])
     assert m["total_files"] == 2 and m["total_rows"] == 17
