@@ -11,7 +11,8 @@ The benchmark's side is broadcast if it holds at most `max_broadcast` seeds; bey
 are joined by a shuffle and the texts of the documents with hits are fetched by a second join.
 
 Edge cases: null and empty texts have no tokens; documents and items of fewer than eight tokens have
-no seed and never match; repeated items and rows each count, rows of one id together; an empty
+no seed and never match; repeated items and rows each count, rows of one id together, a null id of
+documents or items being an id like any other; an empty
 benchmark or table gives an empty result; other columns aren't read.
 """
 
@@ -79,8 +80,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     again = texts.join(F.broadcast(found) if n <= max_broadcast else found, F.col("k").eqNullSafe(F.col("doc"))).select("doc", hashes(F.col("t")).alias("h"), "hits")
     cut = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["place"].alias("place"), x["item_place"].alias("item_place"), F.least(x["place"], F.lit(MARGIN)).alias("before"), F.slice(F.col("h"), F.greatest(x["place"] - MARGIN, F.lit(0)) + 1, F.lit(span)).alias("near")))
     hits = again.select("doc", F.explode_outer(cut).alias("x")).select("doc", "x.*")
-    beside = items.where(F.size("item_h") >= SPAN)
-    hits = hits.join(F.broadcast(beside) if few else beside, "item")
+    beside = items.where(F.size("item_h") >= SPAN).withColumnRenamed("item", "beside")
+    hits = hits.join(F.broadcast(beside) if few else beside, F.col("item").eqNullSafe(F.col("beside")))
     around = F.sequence(-F.least(F.col("before"), F.col("item_place")), F.least(F.lit(span - MARGIN), F.size("item_h") - F.col("item_place")) - 1)
     agree = F.size(F.filter(around, lambda k: F.get(F.col("near"), F.col("before") + k) == F.get(F.col("item_h"), F.col("item_place") + k)))
     enough = F.least(F.lit(need), F.ceil(F.size("item_h") * F.lit(0.8)))

@@ -217,6 +217,15 @@ def brute_overlap(docs, items, need=11):
     return out
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_items_of_a_null_id_count(spark, limit):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before it " + text + " and after"), (2, "nothing of it " * 9)], SCHEMA)
+    items = spark.createDataFrame([(None, text), (3, " ".join(f"x{i}" for i in range(20)))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in spaced_seeds.overlaps(docs, items, max_broadcast=limit).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in spaced_seeds.clean(docs, items, max_broadcast=limit).collect()] == [2]
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_decontamination(spark, limit):
     rnd = random.Random(6)
