@@ -37,7 +37,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap a benchmark item."""
-    return spaced_seeds.clean(docs, table(spark, sf_dir, "benchmark"))
+    return spaced_seeds.clean(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ at least `need` = 11 agree (or 80 % of an item of fewer than 13 tokens).
 The benchmark's side is broadcast if it holds at most `max_broadcast` seeds; beyond that the seeds
 are joined by a shuffle and the texts of the documents with hits are fetched by a second join.
 
+With `short_items`, items of fewer than eight tokens match where a document holds them whole, and of
+eight to eleven wherever 80 % of the tokens agree: such an item is cut into one block more than
+tokens may differ, so that a block is always whole, and the blocks are seeds as well.
+
 Edge cases: null and empty texts have no tokens; documents and items of fewer than eight tokens have
-no seed and never match; repeated items and rows each count, rows of one id together, a null id of
+no spaced seed and match by `short_items` alone; repeated items and rows each count, rows of one id together, a null id of
 documents or items being an id like any other; an empty
 benchmark or table gives an empty result; other columns aren't read.
 """
@@ -27,6 +31,8 @@ from .common import spool
 SEEDS = ("11101011", "110100111", "1110011001")
 SPAN = 8
 MARGIN = 5
+#: (first token, length) of the blocks of short items by their number of tokens.
+BLOCKS = {n: ((0, n),) for n in range(1, SPAN)} | {8: ((0, 4), (4, 4)), 9: ((0, 4), (4, 5)), 10: ((0, 3), (3, 4), (7, 3)), 11: ((0, 3), (3, 4), (7, 4))}
 
 
 def tokens(text: Column) -> Column:
@@ -57,7 +63,25 @@ def _placed(rows: DataFrame, *carry: str) -> DataFrame:
     return made.select(*carry, F.posexplode_outer("s").alias("p", "seed")).select(*carry, F.expr(f"p div {len(SEEDS)}").cast("int").alias("place"), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", need: int = 11, max_broadcast: int = 500_000) -> DataFrame:
+def _block(h: Column, start: Column, length: int) -> Column:
+    return F.xxhash64(F.lit(length), F.slice(h, start + 1, length))
+
+
+def _short_hits(words: DataFrame, items: DataFrame, sizes: list[int], few: bool) -> DataFrame:
+    """doc, item, place, item_place where a block of an item of one of these sizes lies in a document, both moved back to the item's start or the document's."""
+    size = F.size("item_h")
+    cut = F.coalesce(*[F.when(size == n, F.array(*[F.struct(F.lit(o).alias("at"), _block(F.col("item_h"), F.lit(o), k).alias("seed")) for o, k in BLOCKS[n]])) for n in sizes])
+    theirs = items.select("item", F.explode(cut).alias("b")).select("item", "b.at", "b.seed")
+    lengths = sorted({k for n in sizes for _, k in BLOCKS[n]})
+
+    def placed(k: int) -> Column:
+        return F.when(F.size("h") >= k, F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.struct(i.alias("p"), _block(F.col("h"), i, k).alias("seed"))))
+
+    ours = words.select("doc", F.explode(F.flatten(F.filter(F.array(*map(placed, lengths)), lambda x: x.isNotNull()))).alias("b")).select("doc", "b.p", "b.seed")
+    return ours.join(F.broadcast(theirs) if few else theirs, "seed").select("doc", "item", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("place"), F.greatest(F.col("at") - F.col("p"), F.lit(0)).alias("item_place"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", need: int = 11, max_broadcast: int = 500_000, short_items: bool = False) -> DataFrame:
     """One row for each document and item that overlap: key, item, n_hits, n_agreeing tokens around the best hit, first_place.
 
     The hits of a document are gathered first; only documents with hits are read again, and the few
@@ -66,21 +90,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     words = docs.select(F.col(key).alias("doc"), hashes(F.col(text)).alias("h"))
     items = benchmark.select(F.col(item).alias("item"), hashes(F.col(item_text)).alias("item_h"))
     theirs = _placed(items.withColumnRenamed("item_h", "h"), "item").where("seed is not null").select("seed", F.col("place").alias("item_place"), "item")
-    few = theirs.count() <= max_broadcast
+    short = {r["n"]: r["count"] for r in items.groupBy(F.size("item_h").alias("n")).count().where(F.col("n").isin(*BLOCKS)).collect()} if short_items else {}
+    few = theirs.count() + sum(len(BLOCKS[n]) * k for n, k in short.items()) <= max_broadcast
     span = max(map(len, SEEDS)) + 2 * MARGIN
-    found = spool(
-        _placed(words, "doc")
-        .join(F.broadcast(theirs) if few else theirs, "seed")
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("item", "place", "item_place")).alias("hits")),
-        "hits",
-    )
+    seeded = _placed(words, "doc").join(F.broadcast(theirs) if few else theirs, "seed")
+    if short:
+        seeded = seeded.select("doc", "item", "place", "item_place").unionByName(_short_hits(words, items, sorted(short), few))
+    found = spool(seeded.groupBy("doc").agg(F.collect_set(F.struct("item", "place", "item_place")).alias("hits")), "hits")
     n = found.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     again = texts.join(F.broadcast(found) if n <= max_broadcast else found, F.col("k").eqNullSafe(F.col("doc"))).select("doc", hashes(F.col("t")).alias("h"), "hits")
     cut = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["place"].alias("place"), x["item_place"].alias("item_place"), F.least(x["place"], F.lit(MARGIN)).alias("before"), F.slice(F.col("h"), F.greatest(x["place"] - MARGIN, F.lit(0)) + 1, F.lit(span)).alias("near")))
     hits = again.select("doc", F.explode_outer(cut).alias("x")).select("doc", "x.*")
-    beside = items.where(F.size("item_h") >= SPAN).withColumnRenamed("item", "beside")
+    beside = items.where(F.size("item_h") >= (1 if short else SPAN)).withColumnRenamed("item", "beside")
     hits = hits.join(F.broadcast(beside) if few else beside, F.col("item").eqNullSafe(F.col("beside")))
     around = F.sequence(-F.least(F.col("before"), F.col("item_place")), F.least(F.lit(span - MARGIN), F.size("item_h") - F.col("item_place")) - 1)
     agree = F.size(F.filter(around, lambda k: F.get(F.col("near"), F.col("before") + k) == F.get(F.col("item_h"), F.col("item_place") + k)))

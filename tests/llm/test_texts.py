@@ -1,6 +1,7 @@
 """Models, tokens, fingerprints, urls, chats and decontamination."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -217,6 +218,29 @@ def brute_overlap(docs, items, need=11):
     return out
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_short_items(spark, limit):
+    filler = [f"f{i}" for i in range(20)]
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in range(1, 12)]
+    docs, want = [], set()
+    for n, words in items:
+        for off in range(3):
+            for at in itertools.combinations(range(n), off):
+                body = ["zz" if k in at else w for k, w in enumerate(words)]
+                for d in ((filler + body + filler, body) if n < 8 or off < 2 or n == 10 else (filler + body + filler,)):
+                    docs.append((len(docs), " ".join(d)))
+                    if (off == 0) if n < 8 else (n - off) * 10 >= n * 8:
+                        want.add((docs[-1][0], n))
+        if n >= 8:
+            docs.append((len(docs), " ".join(words[1:] + filler)))
+            want.add((docs[-1][0], n))
+    a, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in spaced_seeds.overlaps(a, b, max_broadcast=limit, short_items=True).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in spaced_seeds.clean(a, b, max_broadcast=limit, short_items=True).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_items_of_a_null_id_count(spark, limit):
     text = " ".join(f"w{i}" for i in range(20))
