@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle()}
+    return {"op4_url_filter": url_filter.oracle(), "op7_window_dedup": window_dedup.oracle()}

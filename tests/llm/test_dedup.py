@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from dqscan.llm import simhash, suffix_dedup, window_dedup
+from dqscan.llm import blocks, simhash, suffix_dedup, window_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,20 +85,64 @@ def brute_words(docs, width=35):
     return out
 
 
-@pytest.mark.parametrize("bits", [29, 8])
-def test_window_dedup(spark, bits):
-    """With eight bits the sketch takes most windows for repeated; the second pass makes up for it."""
+def narrow() -> blocks.Sketch:
+    """A sketch that takes most single entries for repeated."""
+    sketch = blocks.Sketch(1)
+    sketch.bits, sketch.wide = 8, -(-(1 << 8) // sketch.shards)
+    return sketch
+
+
+@pytest.mark.parametrize("sketch", [None, narrow()])
+def test_window_dedup(spark, sketch):
+    """Where the sketch is wrong about most windows, the second pass makes up for it."""
     docs = texts_of(4)
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
-    assert {r[0]: tuple(r)[1:4] for r in window_dedup.remove_repeats(df, max_sketch_bits=bits).collect()} == brute_words(docs)
+    assert {r[0]: tuple(r)[1:4] for r in window_dedup.remove_repeats(df, sketch=sketch).collect()} == brute_words(docs)
 
 
 def test_window_dedup_cases(spark):
     assert window_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     t = " ".join(f"w{i}" for i in range(40))
-    df = spark.createDataFrame([(None, t, 1), (None, "other", 1), (7, "b " * 10, 1), (7, t, 2), (8, None, 3)], SCHEMA + ", n_words int")
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in window_dedup.remove_repeats(df).collect())
-    assert got == Counter([(None, 40, 40), (None, 1, 0), (7, 10, 0), (7, 40, 40), (8, 0, 0)])
+    long = " ".join(f"v{i}" for i in range(400_000))
+    df = spark.createDataFrame([(None, t, 1), (None, "other", 1), ("7", "b " * 10, 1), ("7", t, 2), ("8", None, 3), ("9", long, 4)], "doc_id string, text string, n_words int")
+    rows = window_dedup.remove_repeats(df, carry=("n_words",)).toDF("doc_id", "n_words", "n_removed", "sha", "kept", "carried").collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["carried"]) for r in rows) == Counter([(None, 40, 40, 1), (None, 1, 0, 1), ("7", 10, 0, 1), ("7", 40, 40, 2), ("8", 0, 0, 3), ("9", 400_000, 0, 4)])
+
+
+def test_words_of_equal_polynomials_stay(spark):
+    """Two words that every polynomial hash modulo 2**64 takes for one, followed by equal words."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = [(1, f"{word} {rest}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {rest}")]
+    assert [r["n_removed"] for r in window_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()] == [0, 0]
+
+
+def test_window_dedup_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    docs = [*texts_of(6), (7, "again " * 50)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    want = sorted(con.sql(window_dedup.oracle()).fetchall())
+    assert sorted(map(tuple, window_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA), with_text=False).collect())) == want
+
+
+@pytest.mark.parametrize("expected", [200_000, 8_000_000_000])
+def test_few_single_entries_pass_the_sketch(expected):
+    """A shard at full load, as it is at any size of the input, takes less than 5 % of single entries for repeated and no repeated one for single."""
+    sketch = blocks.Sketch(expected)
+    rnd = np.random.default_rng(5)
+    n = min(sketch.SHARD, expected // sketch.shards)
+    edge = sketch.wide << (64 - sketch.bits)
+    single, double = rnd.integers(0, edge, n, dtype=np.uint64), rnd.integers(0, edge, 1000, dtype=np.uint64)
+    parts = [np.r_[single[: n // 2], double], np.r_[single[n // 2 :], double]]
+    entries = [sketch.entries(p) for p in parts]
+    pieces = [piece for v, c, _ in entries for shard, piece in sketch.pieces(v, c) if shard == 0]
+    found = sketch.estimates(pieces)
+    passed = np.concatenate([e[where] >= 2 for e, (_, _, where) in zip(found, entries, strict=True)])
+    of_single = np.r_[passed[: n // 2], passed[n // 2 + 1000 : -1000]]
+    assert of_single.mean() < 0.05 and passed[n // 2 : n // 2 + 1000].all() and passed[-1000:].all()
 
 
 def brute_components(docs):
