@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import mixed, on_workers, shared_dir, small_batches
 
 #: Bytes of text a block holds, unless a single row has more.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def _murmur(x: int, seed: int = 42) -> int:

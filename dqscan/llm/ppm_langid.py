@@ -8,9 +8,10 @@ As nothing is updated while scoring, all code lengths are worked out once, into
 (context, byte, language); a text costs two look-ups a byte, over the whole text.
 
 Edge cases: a null text, an empty one and one without a letter get language `und` and score 0;
-without any labelled text every row does. Ties go to the first language in byte order. Repeated
-rows get equal results. Columns beyond key, text and language aren't read; rows of the sample with
-a null language or text are left out.
+without any labelled text every row does. A text of any length is scored whole. Ties go to the first
+language in byte order. Repeated rows get equal results; an empty table gives an empty one. Other
+columns are carried along, and one that has the name of the result is replaced by it; rows of the
+sample with a null language or text are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers, pieces, schema_of, small_batches, text_bytes
@@ -135,39 +136,40 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 300, chars_per_doc: int = 4000, max_contexts: int = 16_000) -> Model:
-    """Counts the trees on at most `docs_per_language` different texts a language, of at most
-    `chars_per_doc` code points each, picked by a hash of the text: the bound of the sample."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).where("lang is not null and text is not null")
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 300, max_contexts: int = 16_000) -> Model:
+    """Counts the trees on about `docs_per_language` different whole texts a language at most, those of the least hash: the bound of the sample.
+
+    The bound on a hash that leaves a third more than are wanted is worked out first, so that a
+    language's rows are never brought together, and copies of a text count once.
+    """
+    rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where("lang is not null and text is not null")
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
-    if not found:
-        return Model({})
     share = F.lit(None)
     for k, n in found.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * docs_per_language / max(n, 1) + (n < 5000)))).otherwise(share)
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text"))
-    picked = (
-        near.groupBy("lang", "h")
-        .agg(F.first("text").alias("text"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")))
-        .where(F.col("k") <= docs_per_language)
-    )
+        share = F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * docs_per_language / max(n, 1)))).otherwise(share)
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) if found else rows
     samples: dict[str, list[bytes]] = {}
-    for r in picked.select("lang", "text").orderBy("lang", "k").collect():
-        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
+    for r in sorted(near.groupBy("lang", "h").agg(F.first("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"] % (1 << 30), r["h"])):
+        own = samples.setdefault(r["lang"], [])
+        if len(own) < docs_per_language:
+            own.append(r["text"].encode("utf-8", "replace"))
     return Model(samples, max_contexts)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the language's share of the likelihood) and bits_per_byte (of the best one)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
+    """docs with a column `out`: lang_pred, score (the language's share of the likelihood) and bits_per_byte (of the best one).
+
+    A column of that name is replaced.
+    """
     spark = docs.sparkSession
     on_workers(spark)
     small_batches(spark)
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
+        return docs.withColumn(out, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte")))
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).rlike(r"\p{L}").alias("letters"), F.col(text).alias("text"))
+    names = [c for c in docs.columns if c != out]
+    whole = F.col(f"`{text}`").cast("string")
+    work = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in names]).alias("row"), whole.rlike(r"\p{L}").alias("letters"), whole.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=["row", "lang_pred", "score", "bits_per_byte"])
 
     done = work.mapInArrow(run, schema_of(work.select("row").schema, "lang_pred string, score double, bits_per_byte double"))
-    return done.select(*[F.col("row")[c].alias(c) for c in names], "lang_pred", "score", "bits_per_byte")
+    return done.select(*[F.col("row")[c].alias(c) for c in names], F.struct("lang_pred", "score", "bits_per_byte").alias(out))
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

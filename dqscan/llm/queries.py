@@ -45,7 +45,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = ppm_langid.held_out(F.col("doc_id"), 4, 2)
     model = ppm_langid.train(docs.where(~out))
-    return ppm_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return ppm_langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "language.*")
 
 
 def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op7_window_dedup": window_dedup.oracle()}
+    return {"op4_url_filter": url_filter.oracle(), "op5_chat_quotes": chat_quotes.oracle(), "op7_window_dedup": window_dedup.oracle()}

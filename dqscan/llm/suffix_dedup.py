@@ -6,8 +6,13 @@ smaller id, or further to the left in the same one.
 Suffixes that can share `width` bytes have to meet in one task. Every window of `width` bytes is
 filed under an anchor, the 40-byte gram of least hash inside it (the rightmost on ties), so that
 equal windows have equal anchors at the same distance; the windows of one anchor are neighbours and
-travel as one fragment of text. A sketch of merged anchor counts, which never underestimates, keeps
-back the fragments whose anchor occurs once. Each task sends a fragment it has met many times once.
+travel as one fragment of text. A sketch of merged anchor counts, in shards that grow with the input
+and never underestimating, keeps back the fragments whose anchor occurs once. Each task sends a
+fragment it has met many times once; fragments of one key are merged after their bytes are compared.
+
+An anchor that the sketch estimates at `HOT` or more, a boilerplate gram with ever new surroundings,
+is split: its windows are counted one by one in a second sketch, and those that may repeat are filed
+each under its own `width` bytes, so that no task gets all fragments of a frequent gram.
 
 Where an anchor has several different fragments, their suffixes are sorted: first a multikey
 quicksort by 8-byte keys, down to the shallow depth of 24 bytes; what is still tied there has a long
@@ -15,12 +20,13 @@ common prefix and is ordered by blind tries, built breadth first: a node keeps n
 at which its suffixes first differ, and branches on the byte there. Suffixes that no trie can tell
 apart within `width` bytes are equal windows; the first of them stays.
 
-What returns to the documents are the windows to keep among those with an anchor that may repeat:
-each document gets its own, and no task holds the copies of a passage.
+What returns to the blocks of documents are the windows to keep among those that may repeat.
 
-Edge cases: null and empty texts have no bytes; shorter texts than `width` lose none; rows with the
-same id count as one document, so that what repeats between them stays in both; a null id sorts
-before all others; an empty table gives an empty one; columns beyond key and text aren't read.
+Edge cases: null and empty texts have no bytes; shorter texts than `width` lose none, and one of any
+length is judged whole; rows with the same id count as one document, so that what starts at the same
+place in both stays in both; a null id sorts before all others; ids must be whole numbers, as their
+order decides (TypeError for others); an empty table gives an empty one; other columns aren't read,
+unless they are carried along, and may have any names.
 """
 
 from __future__ import annotations
@@ -36,13 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, Sketch, ids_of, mixed, on_workers, pieces, prefix_hash, schema_of, small_batches, span_hash, text_bytes
+from .blocks import Sketch, counted, known_of, opened, packed, with_answers
+from .common import BASE_A, ids_of, mixed, pieces, prefix_hash, schema_of, span_hash, spool, text_bytes
 
 GRAM = 40
 SHALLOW = 24
 BYTES = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
 #: Bytes of fragments that a task holds before it sends them on.
 HELD = 32 << 20
+#: Estimated occurrences of an anchor from which its windows are filed one by one.
+HOT = 1000
+BY_ANCHOR, BY_WINDOW, KEPT = 1, 2, 3
 
 
 # ---------------------------------------------------------------- sorting suffixes
@@ -190,10 +200,10 @@ def _flat(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Pile:
-    """Fragments as columns: key and mark, the first document and place they are met at, times met (at most 2)."""
+    """Fragments as columns: key and mark, the document, its place in it, its block and the place in that, windows, bytes before the anchor."""
 
-    names = ("key", "mark", "doc", "place", "windows", "ahead", "times")
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
+    names = ("key", "mark", "doc", "place", "block", "at", "windows", "ahead")
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint8, np.uint8)
 
     def __init__(self, columns: list[np.ndarray], flat: np.ndarray, width: int):
         self.columns, self.flat, self.width = columns, flat, width
@@ -209,22 +219,42 @@ class Pile:
         every = [self, *others]
         return Pile([np.concatenate(x) for x in zip(*(p.columns for p in every), strict=True)], np.concatenate([p.flat for p in every]), self.width)
 
-    def take(self, rows: np.ndarray) -> Pile:
+    def bytes_of(self, rows: np.ndarray) -> np.ndarray:
         size = self.size
-        start = np.cumsum(size) - size
-        return Pile([c[rows] for c in self.columns], _flat(self.flat, start[rows], size[rows]), self.width)
+        return _flat(self.flat, (np.cumsum(size) - size)[rows], size[rows])
+
+    def take(self, rows: np.ndarray) -> Pile:
+        return Pile([c[rows] for c in self.columns], self.bytes_of(rows), self.width)
 
     def combined(self) -> Pile:
-        """Equal fragments as one row."""
-        order = np.lexsort((self.place, self.doc, self.key))
-        key = self.key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        if len(first) == len(key):
+        """Equal fragments as one row, that of the first place; rows of one document and place all stay."""
+        if not len(self.key):
+            return self
+        order = np.lexsort((self.place, self.doc, self.ahead, self.windows, self.mark, self.key))
+        fresh = np.zeros(len(order), bool)
+        fresh[0] = True
+        for c in (self.key, self.mark, self.windows, self.ahead):
+            fresh[1:] |= c[order][1:] != c[order][:-1]
+        lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        rest = np.flatnonzero(~fresh)
+        if not len(rest):
             return self
-        times = np.minimum(np.add.reduceat(self.times[order].astype(np.int64), first), 2).astype(np.uint8)
-        out = self.take(order[first])
-        out.columns[-1] = times
-        return out
+        other, first = order[rest], lead[rest]
+        size = self.size[other]
+        # Keys alone don't decide: a fragment of other bytes than the first one of its key is a row of its own.
+        differs = np.add.reduceat(self.bytes_of(other) != self.bytes_of(first), np.cumsum(size) - size) > 0
+        fresh[rest] = differs | ((self.doc[other] == self.doc[first]) & (self.place[other] == self.place[first]))
+        return self.take(order[fresh])
+
+    def dealt(self, shards: int) -> Iterator[tuple[int, Pile]]:
+        """The rows of each shard."""
+        shard = (self.mark % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        own, shard = self.take(order), shard[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)]), len(shard)].tolist()
+        to = np.r_[0, np.cumsum(own.size)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(shard[a]), Pile([c[a:b] for c in own.columns], own.flat[to[a] : to[b]], self.width)
 
     def packed(self) -> bytes:
         raw = np.int64([len(self.key), len(self.flat)]).tobytes() + b"".join(c.tobytes() for c in self.columns) + self.flat.tobytes()
@@ -241,8 +271,13 @@ class Pile:
         return cls(columns, np.frombuffer(raw, np.uint8, m, at), width)
 
 
-def kept_windows(pile: Pile, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, place, mark, bits): windows of a fragment's first occurrence that no earlier window equals."""
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for every n, one behind the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def kept_windows(pile: Pile, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, at, bits): windows of a fragment's first occurrence that no earlier window equals."""
     pile = pile.combined()
     windows = pile.windows.astype(np.int64)
     bits = np.where(windows >= 64, np.uint64(2**64 - 1), (np.uint64(1) << (windows % 64).astype(np.uint64)) - np.uint64(1))
@@ -254,8 +289,7 @@ def kept_windows(pile: Pile, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         size = pile.size
         at = (np.cumsum(size) - size)[several]
         n = windows[several]
-        rows = np.repeat(np.arange(len(several)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows, step = np.repeat(np.arange(len(several)), n), _steps(n)
         starts = at[rows] + step
         ahead = pile.ahead[several].astype(np.int64)[rows] - step  # from the window's start to its anchor
         bucket = pile.mark[several][rows] * np.uint64(64) + ahead.astype(np.uint64)  # windows of other buckets differ
@@ -263,174 +297,194 @@ def kept_windows(pile: Pile, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         order, label = deep_shallow(np.r_[pile.flat, np.zeros(width + 16, np.uint8)], starts, bucket, width)
         doc, place = pile.doc[several][rows][order], (pile.place[several][rows] + step)[order]
         rank = np.lexsort((place, doc, label))
-        first = np.r_[True, label[rank][1:] != label[rank][:-1]]
-        later = order[rank[~first]]
+        label, doc, place = label[rank], doc[rank], place[rank]
+        lead = np.maximum.accumulate(np.where(np.r_[True, label[1:] != label[:-1]], np.arange(len(rank)), 0))
+        later = order[rank[(doc != doc[lead]) | (place != place[lead])]]
         np.bitwise_and.at(bits, several[rows[later]], ~(np.uint64(1) << step[later].astype(np.uint64)))
     keep = bits != 0
-    return pile.doc[keep], pile.place[keep], pile.mark[keep], bits[keep]
+    return pile.block[keep], pile.at[keep], bits[keep]
+
+
+ENTRY = np.dtype([("at", np.int64), ("bits", np.uint64)])
+
+
+class Part:
+    """A piece of a block: its bytes from place `base` of the block on, and their fragments."""
+
+    def __init__(self, batch: pa.RecordBatch, base: int, width: int):
+        self.batch, self.base, self.width = batch, base, width
+        self.data, self.offsets = text_bytes(batch.column("text"))
+        self.f = Fragments(self.data, self.offsets, width)
+
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of some fragments, and the hashes of their bytes."""
+        n = self.f.windows[which]
+        starts = np.repeat(self.f.start[which], n) + _steps(n)
+        return starts, span_hash(self.f.pre, starts, starts + self.width) if len(starts) else np.zeros(0, np.uint64)
+
+    def pile(self, block: int, some: np.ndarray, alone: tuple[np.ndarray, np.ndarray]) -> Pile:
+        """Fragments `some`, and windows filed under their own bytes."""
+        f, ids = self.f, ids_of(self.batch.column("id"))
+        starts, own = alone
+        text, of = f.text[some], np.searchsorted(self.offsets, starts, "right") - 1
+        start = np.r_[f.start[some], starts].astype(np.int64)
+        windows = np.r_[f.windows[some], np.ones(len(starts), np.int64)]
+        columns = [
+            np.r_[f.keys(some, self.width) if len(some) else np.zeros(0, np.uint64), mixed(own)], np.r_[f.mark[some], mixed(own + np.uint64(BASE_A))], ids[np.r_[text, of].astype(np.int64)],
+            start - self.offsets[np.r_[text, of].astype(np.int64)], np.full(len(start), block), start + self.base, windows.astype(np.uint8), np.r_[f.anchor[some] - f.start[some], np.zeros(len(starts), np.int64)].astype(np.uint8),
+        ]
+        return Pile(columns, _flat(self.data, start, windows + self.width - 1), self.width)
+
+
+def parts_of(data: bytes, width: int) -> list[Part]:
+    out, base = [], 0
+    for batch in pieces(iter([opened(data)]), "text", 1 << 20):
+        out.append(Part(batch, base, width))
+        base += len(out[-1].data)
+    return out
 
 
-EXCEPTION = np.dtype([("place", np.int64), ("mark", np.uint64), ("bits", np.uint64)])
+class Search:
+    """What the two sketches say about the windows of a block."""
 
+    def __init__(self, size: int, width: int):
+        self.width = width
+        self.anchors, self.windows = Sketch(int(size * 2.1 / (width - GRAM))), Sketch(size // 8)
 
-def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", max_sketch_bits: int = 28, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    def marks(self, data: bytes, _) -> np.ndarray:
+        return np.concatenate([p.f.mark for p in parts_of(data, self.width)])
+
+    def codes(self, parts: list[Part], known: list | None) -> list[np.ndarray]:
+        """For the fragments of each part: 0 single, 1 perhaps repeated, 2 of a hot anchor."""
+        marks = np.concatenate([p.f.mark for p in parts])
+        if not len(marks):
+            return [np.zeros(0, np.uint8)] * len(parts)
+        v, _, where = self.anchors.entries(marks)
+        return np.split(self.anchors.codes(v, known_of(known, BY_ANCHOR))[where], np.cumsum([len(p.f.mark) for p in parts])[:-1])
+
+    def hot(self, data: bytes, known: list | None) -> np.ndarray:
+        """Hashes of all windows of hot anchors."""
+        parts = parts_of(data, self.width)
+        return np.concatenate([p.windows(np.flatnonzero(c == 2))[1] for p, c in zip(parts, self.codes(parts, known), strict=True)])
+
+    def found(self, parts: list[Part], known: list | None) -> Iterator[tuple[Part, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """For each part: fragments that may repeat, and (starts, hashes) of windows of hot anchors that may."""
+        codes = self.codes(parts, known)
+        hot = [p.windows(np.flatnonzero(c == 2)) for p, c in zip(parts, codes, strict=True)]
+        every = np.concatenate([h for _, h in hot])
+        may = np.zeros(0, bool)
+        if len(every):
+            v, _, where = self.windows.entries(every)
+            may = self.windows.codes(v, known_of(known, BY_WINDOW))[where] > 0
+        for p, c, (starts, own), m in zip(parts, codes, hot, np.split(may, np.cumsum([len(h) for _, h in hot])[:-1]), strict=True):
+            yield p, np.flatnonzero(c == 1), (starts[m], own[m])
+
+
+def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", with_text: bool = True, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, if with_text kept_text, and the columns to carry along.
 
     kept_text leaves out the remains of code points that a removed span cuts through.
     """
     if not GRAM < width <= GRAM + 63:
         raise ValueError(f"width must be from {GRAM + 1} to {GRAM + 63}")
-    spark = docs.sparkSession
-    on_workers(spark)
-    small_batches(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in carry]).alias("extra"))
-    extra = T.StructType().add("id", "long").add("extra", rows.schema["extra"].dataType)
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, not {kind.simpleString()}: their order decides which copy stays")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in carry]).alias("extra"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    sketch = Sketch(int(size * 2.1 / (width - GRAM)), max_sketch_bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def send():
-            parts = list(sketch.parts(np.concatenate(held)))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["shard", "cells"])
-
-        for batch in pieces(batches, "text", 1 << 20):
-            held.append(Fragments(*text_bytes(batch.column("text")), width).mark)
-            n += len(held[-1])
-            if n > 4_000_000:
-                yield send()
-                held, n = [], 0
-        if n:
-            yield send()
-
-    sketch.gather(rows.select("text").mapInArrow(count, "shard long, cells binary"))
-    shared = spark.sparkContext.broadcast(sketch)
+    blocks = packed(rows, "text", size, "bytes")
+    search = Search(size, width)
+    anchors = spool(counted(blocks, search.marks, search.anchors, BY_ANCHOR, hot), "anchors")
+    windows = spool(counted(with_answers(blocks, anchors), search.hot, search.windows, BY_WINDOW), "windows")
     shards = max(24, size // (8 << 20))
+    packed_type = "block long, kind int, shard int, answer binary"
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def send():
-            pile = held[0].joined(held[1:]).combined()
-            shard = (pile.mark % np.uint64(shards)).astype(np.int64)
-            own = [(k, pile.take(np.flatnonzero(shard == k))) for k in np.unique(shard)]
-            return pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in own], pa.int32()), pa.array([p.packed() for _, p in own], pa.binary())], names=["shard", "pile"])
-
-        for batch in pieces(batches, "text", 1 << 20):
-            data, offsets = text_bytes(batch.column("text"))
-            f = Fragments(data, offsets, width)
-            hit = np.flatnonzero(shared.value.repeated(f.mark))
-            if len(hit):
-                doc = f.text[hit]
-                columns = [f.keys(hit, width), f.mark[hit], ids_of(batch.column("id"))[doc], f.start[hit] - offsets[doc], f.windows[hit].astype(np.uint8), (f.anchor[hit] - f.start[hit]).astype(np.uint8), np.ones(len(hit), np.uint8)]
-                held.append(Pile(columns, _flat(data, f.start[hit], f.windows[hit] + width - 1), width).combined())
-                n += len(held[-1].flat)
-            if n > HELD:
-                yield send()
-                held, n = [], 0
+            own = [(k, p.packed()) for k, p in held[0].joined(held[1:]).combined().dealt(shards)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([p for _, p in own], pa.binary())], names=["shard", "pile"])
+
+        for batch in batches:
+            for block, data, known in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("known"), strict=True):
+                for part, some, alone in search.found(parts_of(data.as_py(), width), known.as_py()):
+                    if len(some) or len(alone[0]):
+                        held.append(part.pile(block, some, alone).combined())
+                        n += len(held[-1].flat)
+                    if n > HELD:
+                        yield send()
+                        held, n = [], 0
         if n:
             yield send()
 
-    def sort(_, group):
+    def sort(key, group):
         piles = [Pile.unpacked(b.as_py(), width) for b in group["pile"]]
-        doc, place, mark, bits = kept_windows(piles[0].joined(piles[1:]), width)
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        rows = np.empty(len(doc), EXCEPTION)
-        rows["place"], rows["mark"], rows["bits"] = place[order], mark[order], bits[order]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-        ends = np.r_[first, len(doc)][1:]
-        return pa.table({"id": pa.array(doc[first], pa.int64()), "keep": pa.array([rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
-
-    keep = (
-        rows.select("id", "text").mapInArrow(fragments, "shard int, pile binary")
-        .groupBy("shard")
-        .applyInArrow(sort, "id long, keep binary")
-        .groupBy("id")
-        .agg(F.collect_list("keep").alias("keep"))
-    )
-
-    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            view, cuts = memoryview(data.tobytes()), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("extra"), pa.array([press.compress(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["id", "extra", "packed"])
+        block, at, bits = kept_windows(piles[0].joined(piles[1:]), width)
+        order = np.lexsort((at, block))
+        block = block[order]
+        found = np.empty(len(block), ENTRY)
+        found["at"], found["bits"] = at[order], bits[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        n, ends = len(first), np.r_[first, len(block)][1:]
+        return pa.table({"block": pa.array(block[first], pa.int64()), "kind": pa.array([KEPT] * n, pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "answer": pa.array([found[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+
+    kept = with_answers(blocks, anchors, windows).mapInArrow(fragments, "shard int, pile binary").groupBy("shard").applyInArrow(sort, packed_type)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            lists = batch.column("keep").to_pylist()
-            opened = zstandard.ZstdDecompressor()
-            out = []
-            held, total, from_ = [], 0, 0
-            for k, blob in enumerate(batch.column("packed").to_pylist()):
-                held.append(opened.decompress(blob))
-                total += len(held[-1])
-                if total > 1 << 20 or k == n - 1:
-                    out += _cut(held, lists[from_ : k + 1], shared.value, width, with_text)
-                    held, total, from_ = [], 0, k + 1
-            columns = list(zip(*out, strict=True))
-            arrays = [batch.column("id"), batch.column("extra"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
-            names = ["id", "extra", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                arrays.append(pa.array(columns[4], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    joined = (
-        rows.mapInArrow(squeezed, schema_of(extra, "packed binary"))
-        .withColumn("k", F.coalesce("id", F.lit(-(2**63))))
-        .join(keep.withColumnRenamed("id", "k"), "k", "left")
-        .select("id", "extra", "packed", "keep")
-    )
-    schema = schema_of(extra, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
-    done = joined.mapInArrow(finish, schema)
-    shown = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
-    return done.select(F.col("id").cast(kind).alias(key), *shown, *[F.col("extra")[c].alias(c) for c in carry])
-
-
-def _cut(texts: list[bytes], keep: list[list[bytes] | None], sketch: Sketch, width: int, with_text: bool) -> list[tuple]:
-    """(n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each text."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0] + [len(t) for t in texts]).astype(np.int64)
-    f = Fragments(data, offsets, width)
-    hit = np.flatnonzero(sketch.repeated(f.mark))
-    stay = np.zeros(len(hit), np.uint64)
-    counts = [sum(map(len, x)) // EXCEPTION.itemsize if x else 0 for x in keep]
-    known = np.frombuffer(b"".join(b"".join(x) for x in keep if x), EXCEPTION)
-    if len(known) and len(hit):
-        place = known["place"] + offsets[np.repeat(np.arange(len(texts)), counts)]
-        order = np.lexsort((known["mark"], place))
-        place, mark, bits = place[order], known["mark"][order], known["bits"][order]
-        at = np.minimum(np.searchsorted(place, f.start[hit]), len(place) - 1)
-        while True:  # rows of one id may differ in text, and then share a place
-            ok = (place[at] == f.start[hit]) & (mark[at] == f.mark[hit])
-            stay[ok] |= bits[at[ok]]
-            more = (at + 1 < len(place)) & (place[np.minimum(at + 1, len(place) - 1)] == f.start[hit]) & ~ok
-            if not more.any():
-                break
-            at = np.where(more, at + 1, at)
-    rows = np.repeat(np.arange(len(hit)), f.windows[hit])
-    step = np.arange(len(rows)) - np.repeat(np.cumsum(f.windows[hit]) - f.windows[hit], f.windows[hit])
-    gone_at = (f.start[hit][rows] + step)[(stay[rows] >> step.astype(np.uint64)) & np.uint64(1) == 0]
-    change = np.zeros(len(data) + 1, np.int64)
+            for data, known in zip(batch.column("data"), batch.column("known"), strict=True):
+                known = known.as_py()
+                stay = np.frombuffer(b"".join(known_of(known, KEPT).values()), ENTRY)
+                stay = stay[np.argsort(stay["at"], kind="stable")]
+                for part, some, (starts, _) in search.found(parts_of(data.as_py(), width), known):
+                    yield _cut(part, some, starts, stay, with_text)
+
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    schema = schema_of(T.StructType([rows.schema["id"], rows.schema["extra"]]), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    done = with_answers(blocks, anchors, windows, kept).mapInArrow(finish, schema)
+    return done.select(F.col("id").cast(kind).alias(key), *made, *[F.col("extra")[c].alias(c) for c in carry])
+
+
+def _looked_up(stay: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits of the windows to keep from each place on."""
+    if not len(stay):
+        return np.zeros(len(at), np.uint64)
+    where = np.minimum(np.searchsorted(stay["at"], at), len(stay) - 1)
+    return np.where(stay["at"][where] == at, stay["bits"][where], np.uint64(0))
+
+
+def _cut(part: Part, some: np.ndarray, alone: np.ndarray, stay: np.ndarray, with_text: bool) -> pa.RecordBatch:
+    """The rows of a part without what is repeated."""
+    f, data, offsets = part.f, part.data, part.offsets
+    bits, n = _looked_up(stay, f.start[some] + part.base), f.windows[some]
+    step = _steps(n)
+    starts = np.repeat(f.start[some], n) + step
+    gone_at = np.r_[starts[(np.repeat(bits, n) >> step.astype(np.uint64)) & np.uint64(1) == 0], alone[_looked_up(stay, alone + part.base) == 0]].astype(np.int64)
+    change = np.zeros(len(data) + 1, np.int32)
     change[gone_at] += 1
-    np.add.at(change, gone_at + width, -1)
+    np.add.at(change, gone_at + part.width, -1)
     gone = np.cumsum(change[:-1]) > 0
-    out = []
-    for k, t in enumerate(texts):
-        g = gone[offsets[k] : offsets[k + 1]]
-        removed = int(g.sum())
-        if not removed:
-            out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest(), t.decode("utf-8", "ignore") if with_text else None))
+    raw, cuts = memoryview(data.tobytes()), offsets.tolist()
+    total = np.r_[0, np.cumsum(gone)]
+    removed = total[offsets[1:]] - total[offsets[:-1]]
+    spans, sha, kept = [], [], []
+    for a, b, n in zip(cuts, cuts[1:], removed.tolist(), strict=False):
+        if not n:
+            spans.append(0)
+            sha.append(hashlib.sha256(raw[a:b]).hexdigest())
+            kept.append(str(raw[a:b], "utf-8", "ignore") if with_text else None)
             continue
-        spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-        left = data[offsets[k] : offsets[k + 1]][~g].tobytes()
-        out.append((len(t), removed, spans, hashlib.sha256(left).hexdigest(), _whole(t, g) if with_text else None))
-    return out
+        g = gone[a:b]
+        spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()))
+        sha.append(hashlib.sha256(data[a:b][~g].tobytes()).hexdigest())
+        kept.append(_whole(bytes(raw[a:b]), g) if with_text else None)
+    out = [part.batch.column("id"), part.batch.column("extra"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+    names = ["id", "extra", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if with_text:
+        out.append(pa.array(kept, pa.string()))
+        names.append("kept_text")
+    return pa.RecordBatch.from_arrays(out, names=names)
 
 
 def _whole(text: bytes, gone: np.ndarray) -> str:

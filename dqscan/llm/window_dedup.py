@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +60,14 @@ class Windows:
         count = np.maximum(self.words - width + 1, 0)
         text = np.repeat(np.arange(len(self.words)), count)
         self.word = np.arange(len(text)) - np.repeat(np.cumsum(np.r_[0, count[:-1]]), count) + self.first_word[:-1][text]
+        raw, cuts = data.tobytes(), offsets.tolist()
+        self.spelled = [w for a, b in zip(cuts, cuts[1:], strict=False) for w in raw[a:b].split()]  # bytes.split() knows the same six blanks
         words = span_hash(prefix_hash(data, BASE_A), self.starts, self.ends)
         self.hash = span_hash(prefix_hash(words, BASE_B), self.word, self.word + width)
 
     def digests(self, which: np.ndarray) -> np.ndarray:
         """(high, low) of the BLAKE2b digests of windows, whose words are joined by one blank: the exact key."""
-        raw = self.data.tobytes()
-        line = memoryview(b" ".join(raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)))
+        line = memoryview(b" ".join(self.spelled))
         to = np.cumsum(self.ends - self.starts + 1) - 1  # ends of words in `line`
         at = self.word[which]
         begin, end = (to[at] - (self.ends - self.starts)[at]).tolist(), to[at + self.width - 1].tolist()
@@ -149,12 +151,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
                 np.add.at(change, w.word[hit], 1)
                 np.add.at(change, w.word[hit] + width, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                raw = w.data.tobytes()
-                words = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-                kept, cuts = [], w.first_word.tolist()
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    kept.append(b" ".join([words[i] for i in (np.flatnonzero(~gone[a:b]) + a).tolist()]))
                 total = np.r_[0, np.cumsum(gone)]
+                stay = list(compress(w.spelled, (~gone).tolist()))
+                cuts = (w.first_word - total[w.first_word]).tolist()  # among the words that stay
+                kept = [b" ".join(stay[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 out = [own.column("id"), own.column("extra"), pa.array(w.words, pa.int64()), pa.array(total[w.first_word[1:]] - total[w.first_word[:-1]], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 names = ["id", "extra", "n_words", "n_removed", "kept_sha256"]
                 if with_text:

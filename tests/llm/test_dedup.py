@@ -41,15 +41,36 @@ def brute_bytes(docs, width=100):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, suffix_dedup.HOT), (2, suffix_dedup.HOT), (1, 2), (2, 3)])
+def test_suffix_dedup(spark, seed, hot):
+    """With a low bound for hot anchors, nearly all windows are filed one by one."""
     docs = texts_of(seed)
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
-    rows = suffix_dedup.remove_repeats(df).collect()
+    rows = suffix_dedup.remove_repeats(df, hot=hot).collect()
     assert {r[0]: tuple(r)[1:5] for r in rows} == brute_bytes(docs)
     assert all(r["kept_text"] == "" for r in rows if r["doc_id"] == 33)
 
 
+def test_a_frequent_gram_is_split(spark):
+    """A line that every document has between words of its own: its anchors have as many fragments as there are documents."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    line = " ".join(word() for _ in range(40))
+    docs = [(i, " ".join(word() for _ in range(20)) + " " + line + " " + " ".join(word() for _ in range(20))) for i in range(80)]
+    docs += [(100 + i, docs[i][1][40:-30]) for i in range(40)]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA).repartition(3), hot=20).collect()
+    assert {r[0]: tuple(r)[1:5] for r in rows} == brute_bytes(docs)
+
+
+def test_fragments_of_one_key_and_other_bytes_stay_apart():
+    sizes = np.array([140, 140, 140])
+    flat = np.frombuffer(b"a" * 140 + b"b" * 140 + b"a" * 140, np.uint8)
+    columns = [np.full(3, 9, np.uint64), np.full(3, 9, np.uint64), np.array([3, 2, 1]), np.zeros(3, np.int64), np.zeros(3, np.int64), np.array([0, 200, 400]), (sizes - 99).astype(np.uint8), np.zeros(3, np.uint8)]
+    pile = suffix_dedup.Pile(columns, flat, 100).combined()
+    assert sorted(zip(pile.doc.tolist(), [bytes(pile.bytes_of(np.array([k])))[:1] for k in range(len(pile.doc))], strict=True)) == [(1, b"a"), (2, b"b"), (3, b"a")][: len(pile.doc)]
+    assert {1, 2} <= set(pile.doc.tolist())
+
+
 def test_deep_shallow_sorts():
     rnd = np.random.default_rng(3)
     data = np.r_[rnd.integers(97, 99, 400).astype(np.uint8), np.full(300, 97, np.uint8)]
@@ -62,14 +83,20 @@ def test_deep_shallow_sorts():
 
 def test_suffix_dedup_cases(spark):
     p = "".join(chr(97 + i * 7 % 26) for i in range(60)) * 3
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcdefghij ") for _ in range(3_000_000))
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    df = spark.createDataFrame([(None, p, "u"), (1, p, "v"), (1, p, "v"), (2, "z" * 99, "w"), (2, "y" * 120 + p, "w")], SCHEMA + ", extra string")
-    rows = sorted(map(tuple, suffix_dedup.remove_repeats(df, carry=("extra",)).select("doc_id", "n_bytes", "n_removed", "extra").collect()), key=str)
+    df = spark.createDataFrame([(None, p, "u"), (1, p, "v"), (1, p, "v"), (2, "z" * 99, "w"), (2, "y" * 120 + p, "w"), (3, long, "x"), (4, long[:50_000], "x")], SCHEMA + ", n_removed string")
+    rows = sorted(map(tuple, suffix_dedup.remove_repeats(df, with_text=False, carry=("n_removed",)).toDF("doc_id", "n_bytes", "gone", "n_spans", "sha", "n_removed").select("doc_id", "n_bytes", "gone", "n_removed").collect()), key=str)
     first = brute_bytes([(None, p)])[None]
     assert (None, 180, first[1], "u") in rows  # a null id comes first and keeps what it has first
     assert rows.count((1, 180, 180, "v")) == 2
-    assert (2, 99, 0, "w") in rows
+    assert (2, 99, 0, "w") in rows and (3, 3_000_000, 0, "x") in rows and (4, 50_000, 50_000, "x") in rows
+    twice = spark.createDataFrame([(5, p[:150] + "q" * 30), (5, p[:150] + "q" * 30)], SCHEMA)
+    assert {r["n_removed"] for r in suffix_dedup.remove_repeats(twice).collect()} == {brute_bytes([(5, p[:150] + "q" * 30)])[5][1]}
+    with pytest.raises(TypeError, match="whole numbers"):
+        suffix_dedup.remove_repeats(df.withColumn("doc_id", df.doc_id.cast("string")))
 
 
 def brute_words(docs, width=35):

@@ -53,12 +53,15 @@ def test_language(spark):
     df = spark.createDataFrame(rows + [(900, None, "en"), (901, "", None), (902, "12 !?", "de"), (903, prose("de", 8000, 5), None), (1, rows[1][1], "en")], SCHEMA + ", lang string").withColumn("score", F.lit("clash"))
     out = ppm_langid.held_out(F.col("doc_id"), 4, 2)
     model = ppm_langid.train(df.where(~out))
-    got = {r["doc_id"]: r for r in ppm_langid.predict(df.drop("score"), model).collect()}
+    found = ppm_langid.predict(df.withColumn("language", F.lit("replaced")), model)
+    assert {r["score"] for r in found.select("score").collect()} == {"clash"}
+    got = {r["doc_id"]: r for r in found.select("doc_id", "language.*").collect()}
     assert all(got[d]["lang_pred"] == lang for d, _, lang in rows)
     assert [(got[d]["lang_pred"], got[d]["score"]) for d in (900, 901, 902)] == [("und", 0.0)] * 3
     assert got[903]["lang_pred"] == "de" and 0 <= got[903]["score"] <= 1
     none = ppm_langid.train(spark.createDataFrame([], SCHEMA + ", lang string"))
-    assert ppm_langid.predict(df.drop("score"), none).where("lang_pred <> 'und'").count() == 0
+    assert ppm_langid.predict(df, none).where("language.lang_pred <> 'und'").count() == 0
+    assert ppm_langid.predict(df.limit(0), model).count() == 0
 
 
 def test_code_lengths_are_those_of_ppm():
@@ -119,19 +122,44 @@ def test_counterfactuals_take_the_weight_off_groups():
     assert np.mean(right) > 0.95
 
 
+def test_terms_swap_where_they_stand():
+    pairs, own = toxicity.counterfactuals("Men and women sing. Rain falls.")
+    assert own and pairs == [({"men", "and", "women", "sing"}, {"women", "and", "sing"}), ({"men", "and", "women", "sing"}, {"men", "and", "sing"})]
+    pairs, own = toxicity.counterfactuals("Rain falls. Snow too.")
+    assert not own and len(pairs) == 3 and all({"rain", "falls"} <= a & b and a != b for a, b in pairs)
+    assert toxicity.counterfactuals("") == toxicity.counterfactuals(None) == ([], False)
+
+
+def test_neutral_mentions_are_left_alone():
+    """Labelled texts name no group, but toxic words begin as some terms do; the penalty takes the false positives away."""
+    rnd = random.Random(5)
+    toxic = lambda: rnd.choice(["les", "tra", "wom", "mus", "ath"]) + "".join(rnd.choice("qxyzvw") for _ in range(5))
+    rows = []
+    for k in range(600):
+        words = [rnd.choice("tree house river walk bread night stone water green light".split()) for _ in range(12)]
+        rows.append((" ".join(words + ([toxic()] if k % 3 == 0 else [])) + ".", int(k % 3 == 0)))
+    texts, labels = map(list, zip(*rows, strict=True))
+    fair, plain = toxicity.fit(texts, labels), toxicity.fit(texts, labels, penalty=0.0)
+    neutral = [f"{t} walk by the river" for row in toxicity.IDENTITY_TERMS for t in row]
+    wrong = lambda c: sum(c.logit(toxicity.words_of(t), c.word_weights()) >= np.log(0.7 / 0.3) for t in neutral)
+    assert wrong(plain) > 3 and wrong(fair) == 0
+    assert fair.report["pairs"] == 1800 and fair.report["mean_change"] < 0.1 * plain.report["mean_change"]
+    assert toxicity.mean_change(fair, texts) < 0.1 * toxicity.mean_change(plain, texts)
+
+
 def test_toxicity_cases(spark):
     texts, labels = labelled(60, 3)
-    docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, ""), (102, "!!"), (0, texts[0])], SCHEMA).withColumn("row", F.lit(1))
+    docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, ""), (102, "!!"), (0, texts[0]), (103, "vile " * 300_000)], SCHEMA).withColumn("row", F.lit(1))
     marks = spark.createDataFrame([*enumerate(labels), (100, 1), (None, 1), (500, 0), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(*toxicity.labelled_sample(docs, marks))
-    got = toxicity.score(docs, model).collect()
-    assert len(got) == 64 and all(0 <= r["score"] <= 1 for r in got)
+    got = toxicity.score(docs.withColumn("score", F.lit("replaced")), model).collect()
+    assert len(got) == 65 and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (100, 101, 102)}) == 1
     assert toxicity.fit([], []).bias < -20 and toxicity.fit(["a"], [1]).weights == {}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-URLS = [None, "noscheme/x", "http://A.COM", "HTTP://É.com:80/x", "http://example.com/en/#a", "a://www.EXAMPLE.com/en/x?y", "x://", "http://net/es/1\n2", "http://u.net/fr/", "http://spam-farm.example.org/en/5", "http://reader.example.org/en/5", "http://xnet/es/", "http://a.com/" + "p" * 3000]
+URLS = [None, "noscheme/x", "http://A.COM", "HTTP://É.com:80/x", "http://example.com/en/#a", "a://www.EXAMPLE.com/en/x?y", "x://", "http://net/es/1\n2", "http://u.net/fr/", "http://spam-casino.example.org/en/5", "http://reader.example.org/en/5", "http://xnet/es/", "http://a.com/" + "p" * 3000]
 
 
 def test_urls_equal_their_sql(spark):
@@ -146,6 +174,14 @@ def test_urls_equal_their_sql(spark):
     assert by[4][3:] == ("example.com/en/", "block") and by[5][3:] == ("www.example.com/en/", "allow") and by[8][3:] == ("net/fr/", "block")
     assert by[9][3:] == (None, "block") and by[10][3:] == (None, "allow") and by[11][3] is None
     assert url_filter.judged(df.limit(0)).count() == 0
+    cut = df.select(url_filter.cells(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("c"))
+    assert [r["c"] for r in cut.collect()][: len(URLS)] == [url_filter.plain_cells(u) for u in URLS]
+
+
+def test_urls_of_unseen_hosts():
+    """The classifier on labelled hosts that it hasn't been trained on."""
+    found = url_filter.cross_validated()
+    assert found["precision"] > 0.85 and found["recall"] > 0.7
 
 
 def test_quotes(spark):
@@ -173,6 +209,64 @@ def test_quotes_of_several_lines(spark):
     assert got == {c: (to if n else 2, n) for c, (_, to, n) in enumerate(quotes)}
 
 
+def planted_chats(seed: int) -> list[tuple]:
+    """Conversations whose messages quote earlier ones, whole and in parts, wrapped anew, nested and altered."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6)))
+    rows = []
+    for conv in range(25):
+        before: list[list[str]] = []  # lines of what was said
+        for turn in range(rnd.randint(1, 9)):
+            own = [" ".join(word() for _ in range(rnd.randint(1, 8))) if rnd.random() < 0.85 else "" for _ in range(rnd.randint(1, 5))]
+            head = []
+            for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+                if before:
+                    source = rnd.choice(before)
+                    a = rnd.randrange(len(source))
+                    lines = source[a : a + rnd.randint(1, 4)]
+                    if rnd.random() < 0.3:
+                        lines = " ".join(lines).split(" ", 1)
+                    if rnd.random() < 0.2:
+                        lines = [*lines, "unheard of"]
+                    mark = rnd.choice(["> ", ">", "> > ", ">>", " > "])
+                    head += [mark + (x.upper() if rnd.random() < 0.2 else x) for x in lines] + rnd.choice([[], [""], [word()]])
+            before.append(own)
+            text = rnd.choice(["\n", "\n", "\r\n"]).join(head + own)
+            rows += [(conv, turn * 2, rnd.choice(["user", "assistant", None]), text)] * (2 if rnd.random() < 0.05 else 1)
+    return rows + [(90, 0, None, None), (91, 3, "user", "> nothing before"), (None, 1, "user", "x"), (92, None, "user", "x"), (93, 1, "user", ""), (93, 1, "user", "y")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_equal_their_sql(spark, seed):
+    """The SQL joins every run of lines with every quoted piece by its text."""
+    import duckdb
+
+    rows = planted_chats(seed)
+    schema = "conv_id long, turn long, role string, text string"
+    got = sorted(map(tuple, chat_quotes.conversations(spark.createDataFrame(rows, schema).withColumn("rank", F.lit("clash")).repartition(3)).collect()))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert got == sorted(con.sql(chat_quotes.oracle()).fetchall())
+    assert sum(r[6] for r in got) > 40  # quotes that are linked
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_reply_order_of_long_conversations(spark, most):
+    """Walked in a task, or by pointer doubling where a conversation has more than `most` messages."""
+    rnd = random.Random(3)
+    trees = {1: [chat_quotes.NONE, *range(3000)], 2: [chat_quotes.NONE] + [rnd.randrange(k) for k in range(1, 40)], 3: [chat_quotes.NONE, 0, chat_quotes.NONE, 2, 0], 4: [chat_quotes.NONE] + [0] * 30}
+    if most == 5:
+        trees[1] = trees[1][:200]
+    df = spark.createDataFrame([(c, t, to) for c, x in trees.items() for t, to in enumerate(x)], "conv long, turn long, to long").repartition(3)
+    got = {(r["conv"], r["turn"]): r["rank"] for r in chat_quotes.reply_ranks(df, most).collect()}
+    for c, up in trees.items():
+        order, stack = [], [t for t in reversed(range(len(up))) if up[t] == chat_quotes.NONE]
+        while stack:
+            order.append(stack.pop())
+            stack += [t for t in reversed(range(len(up))) if up[t] == order[-1]]
+        assert [got[c, t] for t in order] == list(range(len(up)))
+
+
 def test_edited_texts(spark):
     rnd = random.Random(3)
     docs = [(3 * i, " ".join("".join(rnd.choice("abcdeéf") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.choice([0, 2, 5, 40, 300])))) for i in range(60)]
