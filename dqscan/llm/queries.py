@@ -69,4 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op5_chat_quotes": chat_quotes.oracle(), "op7_window_dedup": window_dedup.oracle()}
+    made = {
+        "op1_suffix_dedup": suffix_dedup, "op4_url_filter": url_filter, "op5_chat_quotes": chat_quotes, "op7_window_dedup": window_dedup, "op10_decontaminate": spaced_seeds,
+    }
+    return {name: module.oracle() for name, module in made.items()}

@@ -15,9 +15,10 @@ eight to eleven wherever 80 % of the tokens agree: such an item is cut into one
 tokens may differ, so that a block is always whole, and the blocks are seeds as well.
 
 Edge cases: null and empty texts have no tokens; documents and items of fewer than eight tokens have
-no spaced seed and match by `short_items` alone; repeated items and rows each count, rows of one id together, a null id of
-documents or items being an id like any other; an empty
-benchmark or table gives an empty result; other columns aren't read.
+no spaced seed and match by `short_items` alone; texts of any length are read whole; repeated items
+and rows each count, rows of one id together, a null id of documents or items being an id like any
+other; an empty benchmark or table gives an empty result; other columns aren't read and may have any
+names.
 """
 
 from __future__ import annotations
@@ -84,31 +85,32 @@ def _short_hits(words: DataFrame, items: DataFrame, sizes: list[int], few: bool)
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", need: int = 11, max_broadcast: int = 500_000, short_items: bool = False) -> DataFrame:
     """One row for each document and item that overlap: key, item, n_hits, n_agreeing tokens around the best hit, first_place.
 
-    The hits of a document are gathered first; only documents with hits are read again, and the few
-    tokens around each hit are cut out of them.
+    Hits are rows of four numbers, written first. Only documents with hits are read again, and each
+    hit is verified by itself on the few tokens around it, so that no document's hits are gathered.
     """
-    words = docs.select(F.col(key).alias("doc"), hashes(F.col(text)).alias("h"))
-    items = benchmark.select(F.col(item).alias("item"), hashes(F.col(item_text)).alias("item_h"))
+    words = docs.select(F.col(f"`{key}`").alias("doc"), hashes(F.col(f"`{text}`")).alias("h"))
+    items = benchmark.select(F.col(f"`{item}`").alias("item"), hashes(F.col(f"`{item_text}`")).alias("item_h"))
     theirs = _placed(items.withColumnRenamed("item_h", "h"), "item").where("seed is not null").select("seed", F.col("place").alias("item_place"), "item")
     short = {r["n"]: r["count"] for r in items.groupBy(F.size("item_h").alias("n")).count().where(F.col("n").isin(*BLOCKS)).collect()} if short_items else {}
     few = theirs.count() + sum(len(BLOCKS[n]) * k for n, k in short.items()) <= max_broadcast
     span = max(map(len, SEEDS)) + 2 * MARGIN
-    seeded = _placed(words, "doc").join(F.broadcast(theirs) if few else theirs, "seed")
+    seeded = _placed(words, "doc").join(F.broadcast(theirs) if few else theirs, "seed").select("doc", "item", "place", "item_place")
     if short:
-        seeded = seeded.select("doc", "item", "place", "item_place").unionByName(_short_hits(words, items, sorted(short), few))
-    found = spool(seeded.groupBy("doc").agg(F.collect_set(F.struct("item", "place", "item_place")).alias("hits")), "hits")
-    n = found.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    again = texts.join(F.broadcast(found) if n <= max_broadcast else found, F.col("k").eqNullSafe(F.col("doc"))).select("doc", hashes(F.col("t")).alias("h"), "hits")
-    cut = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["place"].alias("place"), x["item_place"].alias("item_place"), F.least(x["place"], F.lit(MARGIN)).alias("before"), F.slice(F.col("h"), F.greatest(x["place"] - MARGIN, F.lit(0)) + 1, F.lit(span)).alias("near")))
-    hits = again.select("doc", F.explode_outer(cut).alias("x")).select("doc", "x.*")
+        seeded = seeded.unionByName(_short_hits(words, items, sorted(short), few))
+    hits = spool(seeded.distinct(), "hits")
+    ids = hits.select("doc").distinct()
+    # Sixteen bytes an id: at most 16 MB are broadcast, and more ids are joined by a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= 2 * max_broadcast else ids
+    found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    found = found.join(ids, F.col("k").eqNullSafe(F.col("doc")), "left_semi").select("k", hashes(F.col("t")).alias("h"))
+    near = hits.join(found, F.col("k").eqNullSafe(F.col("doc"))).select("doc", "item", "place", "item_place", F.least("place", F.lit(MARGIN)).alias("before"), F.slice(F.col("h"), F.greatest(F.col("place") - MARGIN, F.lit(0)) + 1, F.lit(span)).alias("near"))
     beside = items.where(F.size("item_h") >= (1 if short else SPAN)).withColumnRenamed("item", "beside")
-    hits = hits.join(F.broadcast(beside) if few else beside, F.col("item").eqNullSafe(F.col("beside")))
+    near = near.join(F.broadcast(beside) if few else beside, F.col("item").eqNullSafe(F.col("beside")))
     around = F.sequence(-F.least(F.col("before"), F.col("item_place")), F.least(F.lit(span - MARGIN), F.size("item_h") - F.col("item_place")) - 1)
     agree = F.size(F.filter(around, lambda k: F.get(F.col("near"), F.col("before") + k) == F.get(F.col("item_h"), F.col("item_place") + k)))
     enough = F.least(F.lit(need), F.ceil(F.size("item_h") * F.lit(0.8)))
     return (
-        hits.select("doc", "item", "place", agree.alias("agree"), enough.alias("enough"))
+        near.select("doc", "item", "place", agree.alias("agree"), enough.alias("enough"))
         .where("agree >= enough")
         .groupBy("doc", "item")
         .agg(F.count("*").alias("n_hits"), F.max("agree").alias("n_agreeing"), F.min("place").alias("first_place"))
@@ -117,6 +119,39 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without any overlap. Documents of a null id can't be told apart and are judged by their own rows' id alone."""
-    bad = overlaps(docs, benchmark, key, **options).select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents without any overlap; rows that share an id, null included, go together."""
+    bad = overlaps(docs, benchmark, key, **options)
+    bad = bad.select(bad[key].alias("bad")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["bad"]), "left_anti")
+
+
+def oracle(need: int = 11) -> str:
+    """DuckDB SQL for `overlaps` over documents and benchmark, which compares the tokens themselves; for items of twelve tokens and more."""
+    cut = lambda x: r"list_filter(string_split_regex(lower(coalesce(" + x + r", '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+    masks = ", ".join("[" + ", ".join(str(k) for k, x in enumerate(m) if x == "1") + "]" for m in SEEDS)
+    span = max(map(len, SEEDS)) + MARGIN
+
+    def placed(source: str, name: str) -> str:
+        seed = "array_to_string(list_transform(list_filter(mask, lambda k: p + k < len(h)), lambda k: h[p + k + 1]), ' ')"
+        return f"SELECT {name}, p, m, {seed} AS seed FROM (SELECT {name}, h, unnest(range(0, len(h) - {SPAN - 1})) AS p FROM {source} WHERE len(h) >= {SPAN}), mask"
+
+    return f"""
+WITH d AS (
+  SELECT doc_id, {cut("text")} AS h FROM documents
+), i AS (
+  SELECT item_id, {cut("text")} AS h FROM benchmark
+), mask AS (
+  SELECT unnest([{masks}]) AS mask, unnest(range({len(SEEDS)})) AS m
+), ours AS (
+  {placed("d", "doc_id")}
+), theirs AS (
+  {placed("i", "item_id")}
+), hit AS (
+  SELECT DISTINCT doc_id, item_id, o.p, t.p AS q FROM ours o JOIN theirs t USING (m, seed)
+), laid AS (
+  SELECT hit.doc_id, hit.item_id, p, q, len(i.h) AS n,
+         len(list_filter(range(-least(p, q, {MARGIN}), least({span}, len(i.h) - q)), lambda k: p + k < len(d.h) AND d.h[p + k + 1] = i.h[q + k + 1])) AS agree
+  FROM hit JOIN d ON hit.doc_id IS NOT DISTINCT FROM d.doc_id JOIN i ON hit.item_id IS NOT DISTINCT FROM i.item_id
+)
+SELECT doc_id, item_id, count(*) AS n_hits, max(agree) AS n_agreeing, min(p)::INT AS first_place
+FROM laid WHERE agree >= least({need}, ceil(n * 0.8)) GROUP BY doc_id, item_id"""

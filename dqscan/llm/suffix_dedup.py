@@ -491,3 +491,28 @@ def _whole(text: bytes, gone: np.ndarray) -> str:
     """What is left of a text, without parts of code points."""
     edges = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
     return "".join(text[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def oracle(width: int = 100) -> str:
+    """DuckDB SQL for `remove_repeats` over the table documents, which compares the windows' bytes themselves."""
+    return f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {width - 1})) AS s FROM d WHERE len(h) >= {2 * width}
+), k AS (
+  SELECT r, coalesce(doc_id, -9223372036854775808) AS id, s, substring(h, 2 * s + 1, {2 * width}) AS k FROM w
+), later AS (
+  SELECT r, s FROM (SELECT *, min({{'id': id, 's': s}}) OVER (PARTITION BY k) AS f FROM k) WHERE {{'id': id, 's': s}} > f
+), mark AS (
+  SELECT *, s > lag(s, 1, -{2 * width}) OVER (PARTITION BY r ORDER BY s) + {width} AS opens FROM later
+), span AS (
+  SELECT r, min(s) AS a, max(s) + {width} AS b FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS g FROM mark) GROUP BY r, g
+), gap AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS start FROM span
+), cut AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)"""

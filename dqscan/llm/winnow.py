@@ -1,25 +1,27 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-A text's units are its words, or its characters if it has fewer than twelve words. The hash of each
-k-gram of units is taken; of every window of w hashes the least is kept, the rightmost on ties, with
-its place. Any run of w + k - 1 units that two texts share leaves a common entry in both.
-
-Edge cases: a null text is empty; the empty text has the empty fingerprint, and two such are alike
-by 1; a text of fewer than k units is one gram; equal texts have equal fingerprints, wherever they
-stand; repeated ids are ordered by their text; null ids come first; an empty table gives an empty
-one; columns beyond key and text aren't read.
+A text's units are its words, long ones cut every `UNIT` characters. The hash of the k-gram that ends
+at each unit is taken (the first k - 1 of them are shorter); of every window of w hashes the least is
+kept, the rightmost on ties, with its place, that of the gram's last unit. One scheme serves all
+lengths, so that any run of w + k - 1 units that two texts share leaves a common entry in both; texts
+of fewer than w units keep the least of what they have.
+
+Edge cases: a null text is empty; texts without a unit have the empty fingerprint, and two such are
+alike by 1; texts of any length are read whole; equal texts have equal fingerprints, wherever they
+stand; repeated ids are ordered by their text; null ids come first; ids must be whole numbers, as
+their order decides (TypeError for others); an empty table gives an empty one; other columns aren't
+read and may have any names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-GRAM = 4
-WINDOW = 6
-FEW_WORDS = 12
-CHAR_GRAM = 3
-CHAR_WINDOW = 2
+GRAM = 3
+WINDOW = 4
+UNIT = 16
 LOW = (1 << 32) - 1
 
 
@@ -28,26 +30,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Each step is a projection of its own, as an expression that is named twice is worked out twice.
     """
-    t, h, g, v, m = (f"__{out}_{x}" for x in "thgvm")
+    h, v = (f"__{out}_{x}" for x in "hv")
     names = df.columns
-    many = F.col(m)
-    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
-    step = df.select(*names, words.alias(t))
-    step = step.select(*names, (F.size(t) >= FEW_WORDS).alias(m), F.when(F.size(t) >= FEW_WORDS, F.col(t)).when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(F.array().cast("array<string>")).alias(t))
-    step = step.select(*names, m, F.transform(F.col(t), lambda u: F.xxhash64(u)).alias(h))
-
-    def grams(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(k)]))
-
-    one = F.transform(F.slice(F.col(h), 1, 1), lambda _: F.xxhash64(F.col(text)))
-    step = step.select(*names, m, F.when(many, grams(GRAM)).when(F.size(h) >= CHAR_GRAM, grams(CHAR_GRAM)).otherwise(one).alias(g))
-    ranked = F.transform(F.col(g), lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR(F.lit(LOW) - i))
-    step = step.select(*names, m, ranked.alias(v))
-
-    def least(w: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - w), lambda i: F.least(*[F.get(F.col(v), i + j) for j in range(w)])))
-
-    picked = F.when(many & (F.size(v) >= WINDOW), least(WINDOW)).when(~many & (F.size(v) >= CHAR_WINDOW), least(CHAR_WINDOW)).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(F.col(v))
+    units = F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
+    step = df.select(*names, F.transform(units, lambda u: F.xxhash64(u)).alias(h))
+    none = F.array().cast("array<bigint>")
+
+    def gram(i: Column) -> Column:
+        """Hash of the gram that ends at unit i; units before the first one are null, which a hash leaves out."""
+        return F.xxhash64(*[F.get(F.col(h), i - j) for j in range(GRAM - 1, -1, -1)])
+
+    ranked = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), 33), 32).bitwiseOR(F.lit(LOW) - i))
+    step = step.select(*names, F.when(F.size(h) > 0, ranked).otherwise(none).alias(v))
+    least = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - WINDOW), lambda i: F.least(*[F.get(F.col(v), i + j) for j in range(WINDOW)])))
+    picked = F.when(F.size(v) >= WINDOW, least).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(none)
     return step.select(*names, picked.alias(out))
 
 
@@ -62,12 +58,12 @@ def hash_set(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes over the smaller number of them, 0 to 1; 0 if one is empty, 1 if both are. a, b: from hash_set."""
-    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    return F.when(F.greatest(F.size(a), F.size(b)) == 0, F.lit(1.0)).otherwise(shared)
+    """Twice the shared hashes over the sum of both numbers of them, 0 to 1; 1 if both are empty. a, b: from hash_set."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / F.greatest(total, F.lit(1)))
 
 
-def with_bucket(df: DataFrame, key: str, rows_each: int = 2000, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def with_bucket(df: DataFrame, key: str, rows_each: int = 2000, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """df with a column bucket that never falls as key rises, and (bucket, previous) of the buckets in use.
 
     The bounds are quantiles of the key, 128 at most, each range cut evenly further; both the bounds
@@ -111,7 +107,9 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     dealt out once, by ranges of their ids; the first of each range goes to the range before as well.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, not {docs.schema[key].dataType.simpleString()}: the next document is that of the next one")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows, links = with_bucket(rows, "id")
     firsts = rows.groupBy("bucket").agg(F.min("id").alias("first"))
     links = links.join(F.broadcast(firsts), "bucket")  # as bounded as the buckets

@@ -67,8 +67,7 @@ def test_fragments_of_one_key_and_other_bytes_stay_apart():
     flat = np.frombuffer(b"a" * 140 + b"b" * 140 + b"a" * 140, np.uint8)
     columns = [np.full(3, 9, np.uint64), np.full(3, 9, np.uint64), np.array([3, 2, 1]), np.zeros(3, np.int64), np.zeros(3, np.int64), np.array([0, 200, 400]), (sizes - 99).astype(np.uint8), np.zeros(3, np.uint8)]
     pile = suffix_dedup.Pile(columns, flat, 100).combined()
-    assert sorted(zip(pile.doc.tolist(), [bytes(pile.bytes_of(np.array([k])))[:1] for k in range(len(pile.doc))], strict=True)) == [(1, b"a"), (2, b"b"), (3, b"a")][: len(pile.doc)]
-    assert {1, 2} <= set(pile.doc.tolist())
+    assert sorted(zip(pile.doc.tolist(), [bytes(pile.bytes_of(np.array([k])))[:1] for k in range(len(pile.doc))], strict=True)) == [(1, b"a"), (2, b"b")]
 
 
 def test_deep_shallow_sorts():
@@ -144,15 +143,16 @@ def test_words_of_equal_polynomials_stay(spark):
     assert [r["n_removed"] for r in window_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()] == [0, 0]
 
 
-def test_window_dedup_equals_its_sql(spark):
+@pytest.mark.parametrize("operator", [window_dedup, suffix_dedup])
+def test_removals_equal_their_sql(spark, operator):
     import duckdb
     import pandas as pd
 
     docs = [*texts_of(6), (7, "again " * 50)]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
-    want = sorted(con.sql(window_dedup.oracle()).fetchall())
-    assert sorted(map(tuple, window_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA), with_text=False).collect())) == want
+    want = sorted(con.sql(operator.oracle()).fetchall())
+    assert sorted(map(tuple, operator.remove_repeats(spark.createDataFrame(docs, SCHEMA), with_text=False).collect())) == want
 
 
 @pytest.mark.parametrize("expected", [200_000, 8_000_000_000])

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dqscan.llm import queries
@@ -38,10 +39,16 @@ def test_stages(spark, folder):
 
 
 def test_stages_keep_the_columns(spark, folder):
+    """Also columns that are named as what an operator adds or works with."""
     d, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name in ("score", "language", "lang_pred", "n_removed", "kept_text", "id", "extra", "fp", "fingerprint", "component_id", "hits", "doc", "item_id", "block", "data", "row", "others", "h", "k", "__bad"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.repeat("text", 2000)).otherwise(F.col("text")))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, d).dtypes == docs.dtypes
+        kept = stage(spark, docs, d)
+        assert kept.dtypes == docs.dtypes
+        assert kept.where("score <> 'score' || doc_id or n_removed <> 'n_removed' || doc_id").count() == 0 and kept.count() > 20
     empty = docs.limit(0)
     assert all(stage(spark, empty, d).count() == 0 for _, stage in corpus_pipeline.STAGES)
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -267,33 +268,70 @@ def test_reply_order_of_long_conversations(spark, most):
         assert [got[c, t] for t in order] == list(range(len(up)))
 
 
+def brute_fingerprint(spark, texts: list[str]) -> list[list[tuple[int, int]]]:
+    """(hash, place) entries by definition: grams ending at every unit, the rightmost least of every window."""
+    units = [re.findall(r"[^\x20\x09-\x0D]{1,16}", t) for t in texts]
+    grams = sorted({tuple(u[max(0, i - winnow.GRAM + 1) : i + 1]) for u in units for i in range(len(u))})
+    rows = spark.createDataFrame([(list(g),) for g in grams] or [([],)], "g array<string>")
+    of_size = lambda n: F.xxhash64(*[F.xxhash64(F.get("g", F.lit(j))) for j in range(n)])
+    hashed = rows.select("g", F.when(F.size("g") == 1, of_size(1)).when(F.size("g") == 2, of_size(2)).otherwise(of_size(3)).alias("h")).collect()
+    of = {tuple(r["g"]): (r["h"] % 2**64) >> 33 for r in hashed}
+    out = []
+    for u in units:
+        h = [of[tuple(u[max(0, i - winnow.GRAM + 1) : i + 1])] for i in range(len(u))]
+        windows = [range(s, min(s + winnow.WINDOW, len(h))) for s in range(max(1, len(h) - winnow.WINDOW + 1))] if h else []
+        out.append(sorted({max((p for p in w if h[p] == min(h[q] for q in w))) for w in windows}, key=int))
+        out[-1] = [(h[p], p) for p in out[-1]]
+    return out
+
+
 def test_edited_texts(spark):
+    """Edited texts, fingerprints and likeness of all lengths against their definitions."""
     rnd = random.Random(3)
-    docs = [(3 * i, " ".join("".join(rnd.choice("abcdeéf") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.choice([0, 2, 5, 40, 300])))) for i in range(60)]
-    docs += [(500, docs[4][1]), (501, None), (502, "ab" * 4000), (7, "one\nword")]
-    got = {r["doc_id"]: r for r in winnow.edited(spark.createDataFrame(docs, SCHEMA).withColumn("fp", F.lit(1)).repartition(5)).collect()}
-    order = sorted(docs)
-    for (d, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
-        t, after = t or "", after or ""
+    docs = [(3 * i, " ".join("".join(rnd.choice("abcdeéf") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.choice([0, 1, 2, 3, 5, 11, 12, 13, 40, 300])))) for i in range(60)]
+    docs += [(500, docs[4][1]), (501, None), (502, "ab" * 4000), (7, "one\nword"), (503, " \t "), (504, "w1 w2 " * 40_000), (None, "no id")]
+    df = spark.createDataFrame(docs, SCHEMA).withColumn("fp", F.lit(1)).withColumn("bucket", F.lit("clash")).withColumn("id", F.lit(2))
+    got = {r["doc_id"]: r for r in winnow.edited(df.repartition(5)).collect()}
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0))
+    texts, edits = [t or "" for _, t in order], []
+    for k, t in enumerate(texts):
         m = len(t) // 4
-        want = t[: len(t) - m] + after[:m]
-        assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(t), hashlib.sha256(want.encode()).hexdigest())
-        assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
-    assert got[500]["fingerprint"] == got[docs[4][0]]["fingerprint"] and got[501]["fingerprint"] == ""
+        edits.append(t[: len(t) - m] + texts[(k + 1) % len(texts)][:m])
+    prints, changed = brute_fingerprint(spark, texts), brute_fingerprint(spark, edits)
+    show = lambda p: " ".join(f"{h:x}@{place}" for h, place in p)
+
+    def alike(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    for k, (d, _) in enumerate(order):
+        r, after = got[d], prints[(k + 1) % len(order)]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(texts[k]), hashlib.sha256(edits[k].encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (show(prints[k]), show(changed[k]))
+        assert r["near_edited"] == pytest.approx(alike(prints[k], changed[k])) and r["near_next"] == pytest.approx(alike(prints[k], after))
+    assert got[500]["fingerprint"] == got[docs[4][0]]["fingerprint"] and got[501]["fingerprint"] == got[503]["fingerprint"] == ""
     assert np.mean([got[d]["near_edited"] for d, t in docs if t and len(t) > 200]) > 0.6
     assert winnow.edited(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_winnowing_keeps_the_rightmost_least_of_each_window(spark):
-    rnd = random.Random(4)
-    text = " ".join(rnd.choice(["aa", "bb", "cc", "dd"]) for _ in range(80))
-    df = spark.createDataFrame([(text,)], "t string")
-    words = df.select(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h"))
-    grams = words.select(F.expr(f"transform(sequence(0, size(h) - {winnow.GRAM}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(winnow.GRAM))}))").alias("g")).first()["g"]
-    hashes = [(g % 2**64) >> 33 for g in grams]
-    want = sorted({max(p for p in range(s, s + winnow.WINDOW) if hashes[p] == min(hashes[s : s + winnow.WINDOW])) for s in range(len(hashes) - winnow.WINDOW + 1)})
-    shown = winnow.with_fingerprint(df, "t", "fp").select(winnow.shown(F.col("fp")).alias("s")).first()["s"]
-    assert shown == " ".join(f"{hashes[p]:x}@{p}" for p in want)
+    with pytest.raises(TypeError, match="whole numbers"):
+        winnow.edited(df.withColumn("doc_id", F.lit("x")))
+
+
+def test_texts_of_eleven_and_twelve_words_are_alike(spark):
+    words = [f"word{i}" for i in range(12)]
+    got = winnow.edited(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:11])), (3, "else")], SCHEMA)).orderBy("doc_id").collect()
+    assert got[0]["near_next"] > 0.6 and got[0]["near_edited"] > 0.4
+
+
+def test_shared_runs_leave_a_common_entry(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    n = winnow.GRAM + winnow.WINDOW - 1
+    pairs = []
+    for _ in range(60):
+        run = [word() for _ in range(n)]
+        pairs += [" ".join([word() for _ in range(rnd.randint(0, 30))] + run + [word() for _ in range(rnd.randint(0, 30))]) for _ in range(2)]
+    prints = [{h for h, _ in p} for p in brute_fingerprint(spark, pairs)]
+    assert all(prints[k] & prints[k + 1] for k in range(0, len(prints), 2))
 
 
 def brute_overlap(docs, items, need=11):
