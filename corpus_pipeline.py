@@ -16,32 +16,60 @@ from dqscan.llm.queries import tokenizer_path
 FOREIGN_BITS = 7.0
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those that even their likeliest language hardly predicts."""
-    found = ppm_langid.predict(docs, ppm_langid.train(docs))
-    return found.where(f"lang_pred <> 'und' and bits_per_byte < {FOREIGN_BITS}").select(*docs.columns)
+    """Rejects documents without a letter, and those that even their likeliest language hardly predicts.
+
+    Null and empty texts have no letter and go; rows of a null lang teach nothing and are judged like
+    any other, as are repeated rows; texts of any length are judged whole; columns of any name come
+    back as they were.
+    """
+    out = _fresh(docs, "language")
+    found = ppm_langid.predict(docs, ppm_langid.train(docs), out=out)
+    return found.where((F.col(out)["lang_pred"] != "und") & (F.col(out)["bits_per_byte"] < FOREIGN_BITS)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component, that of the smallest doc_id."""
+    """Keeps one document of each SimHash component, that of the smallest doc_id.
+
+    Null, empty and blank texts are near each other; a null doc_id counts as larger than any other;
+    of rows that share the id one stays, the first by a hash of its text and then of its other columns.
+    """
     return simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings that occur earlier; documents of which nothing is left go, and n_chars follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_dedup.remove_repeats(docs, carry=others).where("n_removed = 0 or length(kept_text) > 0")
-    values = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in others else None}
-    return cut.select(*[values[c].alias(c) if values.get(c) is not None else F.col(c) for c in docs.columns])
+    """Cuts byte strings of 100 bytes that occur earlier; documents of which nothing is left go, and n_chars follows.
+
+    Null, empty and short texts stay as they are; rows that share an id count as one document; a null
+    id comes first; other columns, of whatever name, stay as they are.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    cut = suffix_dedup.remove_repeats(rows, carry=("others", "text")).where("n_removed = 0 or length(kept_text) > 0")
+    changed = F.col("n_removed") > 0
+    values = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    values |= {c: F.when(changed, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(F.col("others")[c]) if c == "n_chars" else F.col("others")[c] for c in others}
+    return cut.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap a benchmark item."""
+    """Drops documents that overlap a benchmark item.
+
+    Null and empty texts and items overlap nothing; rows that share an id go together; an empty
+    benchmark drops nothing; columns of any name come back as they were.
+    """
     return spaced_seeds.clean(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the text decoded from them."""
+    """doc_id, token ids of every text, the text decoded from them, and digests of both; null and empty texts have none."""
     return rank_bpe.encode_decode(docs, tokenizer_path())
 
 
