@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, on_workers, shared_dir, small_batches
+from .common import mixed, on_workers, passing, small_batches
 
 #: Bytes of text a block holds, unless a single row has more.
 BLOCK = 2 << 20
@@ -91,7 +91,7 @@ def packed(rows: DataFrame, text: str, size: int, name: str, limit: int = BLOCK)
 
     at = f"dqscan_{name}_{uuid.uuid4().hex}"
     made = rows.mapInArrow(pack, "block long, data binary")
-    made.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{at}").option("compression", "uncompressed").format("parquet").saveAsTable(at)
+    made.write.bucketBy(buckets, "block").option("path", passing(spark, name)).option("compression", "uncompressed").format("parquet").saveAsTable(at)
     table = spark.table(at)
     spark.sql(f"DROP TABLE {at}")  # the name alone; the files stay
     return table
@@ -142,11 +142,11 @@ class Sketch:
 
     An entry is the first `bits` bits of a hash, which grow with the number expected: about one in
     2**SPARE single entries shares them with another one. A shard has `depth` rows of CELLS counters
-    for every entry it gets.
+    or more for every entry it gets, and holds one of them at a time.
     """
 
-    depth = 2
-    SPARE, CELLS, SHARD = 7, 8, 2 << 20
+    depth = 3
+    SPARE, CELLS, SHARD = 7, 4, 2 << 20
 
     def __init__(self, expected: int):
         self.shards = int(max(12, -(-expected // self.SHARD)))
@@ -184,16 +184,23 @@ class Sketch:
 
     def estimates(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Counts of all entries of all pieces, from the sum of their partial sketches."""
-        read = [self._read(p) for p in pieces]
-        v, n = (np.concatenate(x) for x in zip(*read, strict=True))
+        sizes = [int(np.frombuffer(p, np.int64, 1)[0]) for p in pieces]
+        to = np.cumsum([0, *sizes])
+        v, n = np.empty(to[-1], np.uint64), np.empty(to[-1], np.uint8)
+        for k, p in enumerate(pieces):
+            v[to[k] : to[k + 1]], n[to[k] : to[k + 1]] = self._read(p)
         width = max(6, int(np.ceil(np.log2(self.CELLS * len(v)))))
         out = np.full(len(v), 2**32 - 1, np.uint32)
+        counters = np.empty(1 << width, np.uint32)
+        parts = [slice(k, k + (1 << 18)) for k in range(0, len(v), 1 << 18)]
         for row in range(self.depth):
-            cells = (mixed(v + np.uint64((row + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) >> np.uint64(64 - width)).astype(np.int64)
-            counters = np.zeros(1 << width, np.uint32)
-            np.add.at(counters, cells, n)
-            np.minimum(out, counters[cells], out=out)
-        return np.split(out, np.cumsum([len(x) for x, _ in read])[:-1])
+            cells = lambda part: (mixed(v[part] + np.uint64((row + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) >> np.uint64(64 - width)).astype(np.int64)  # noqa: E731, B023
+            counters[:] = 0
+            for part in parts:
+                np.add.at(counters, cells(part), n[part])
+            for part in parts:
+                np.minimum(out[part], counters[cells(part)], out=out[part])
+        return np.split(out, to[1:-1])
 
     def codes(self, v: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
         """For each entry of a block: 0 single, 1 perhaps repeated, 2 perhaps met `hot` times."""

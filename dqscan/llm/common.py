@@ -1,10 +1,9 @@
-"""Helpers shared by the corpus operators: table access, spooling, byte hashing, components."""
+"""Helpers shared by the corpus operators: table access, byte hashing, components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqscan.plans.spool import passing, spool
+
+__all__ = ["components", "ids_of", "mixed", "on_workers", "passing", "pieces", "prefix_hash", "schema_of", "small_batches", "span_hash", "spool", "table", "text_bytes"]
+
 #: Stands for a null doc_id wherever ids travel as plain 64-bit integers; it sorts first, as nulls do.
 NULL_ID = -(2**63)
 
@@ -42,28 +45,6 @@ def on_workers(spark: SparkSession) -> None:
     sc._dqscan_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(sc, "_dqscan_dir", None) or f"file://{tempfile.mkdtemp(prefix='dqscan-')}"
-        sc._dqscan_dir = at
-    return at
-
-
-def spool(df: DataFrame, name: str = "spool") -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dqscan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keeps an Arrow batch of texts within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -187,77 +168,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if sums[0] == sums[1]:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-# ---------------------------------------------------------------- a merged sketch of counts
-
-
-class Sketch:
-    """Count-min sketch whose counters stop at two: says which hashes may occur more than once.
-
-    Every task counts its own hashes and sends the cells it has met, sorted and coded as differences;
-    cells are merged by range on the executors, and one bit a cell (met twice or more) comes back.
-    A hash that occurs twice always tests true. The bits take at most `depth * 2**max_bits / 8` bytes,
-    whatever the input; beyond that size more hashes pass without need, and none is lost.
-    """
-
-    depth = 2
-
-    def __init__(self, expected: int, max_bits: int = 29):
-        self.bits = int(min(max_bits, max(16, np.ceil(np.log2(max(1, expected) * 3)))))
-        self.shard_bits = min(22, self.bits)
-        self.rows: list[np.ndarray] | None = None
-
-    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
-        return mixed(hashes + np.uint64((row + 1) * BASE_B % 2**64)) >> np.uint64(64 - self.bits)
-
-    def parts(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(shard, coded cells) of one task's hashes."""
-        for row in range(self.depth):
-            cells = np.sort(self.cells(hashes, row))
-            if len(cells) > 2:
-                cells = cells[np.r_[True, True, cells[2:] != cells[:-2]]]  # two of a cell say all
-            cuts = np.searchsorted(cells, np.arange(0, (1 << (self.bits - self.shard_bits)) + 1, dtype=np.uint64) << np.uint64(self.shard_bits))
-            for k in range(len(cuts) - 1):
-                own = cells[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    gaps = np.diff(own, prepend=np.uint64(k << self.shard_bits))
-                    yield (row << 40) | k, np.int64(len(gaps)).tobytes() + np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype(np.uint32).tobytes()
-
-    def merged(self, blobs: Iterator[bytes]) -> bytes:
-        counts = np.zeros(1 << self.shard_bits, np.uint8)
-        for blob in blobs:
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            gaps = np.frombuffer(blob, np.uint8, n, 8).astype(np.uint32)
-            gaps[gaps == 255] = np.frombuffer(blob, np.uint32, -1, 8 + n)
-            cells = np.cumsum(gaps, dtype=np.int64)
-            first = np.r_[True, cells[1:] != cells[:-1]]
-            counts[cells[first]] += 1
-            counts[cells[~first]] += 1
-            np.minimum(counts, 2, out=counts)
-        return np.packbits(counts >= 2).tobytes()
-
-    def gather(self, parts: DataFrame) -> Sketch:
-        """Merges (shard, cells) rows of all tasks; the driver gets the bits alone."""
-        me = self
-
-        def one(key, group):
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([me.merged(x.as_py() for x in group["cells"])], pa.binary())})
-
-        size = (1 << self.bits) // 8
-        rows = [np.zeros(size, np.uint8) for _ in range(self.depth)]
-        each = (1 << self.shard_bits) // 8
-        for r in parts.groupBy("shard").applyInArrow(one, "shard long, bits binary").toLocalIterator():
-            at = (r["shard"] & ((1 << 40) - 1)) * each
-            rows[r["shard"] >> 40][at : at + each] = np.frombuffer(r["bits"], np.uint8)
-        self.rows = rows
-        return self
-
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        """True where a hash may occur more than once in the input."""
-        out = np.ones(len(hashes), bool)
-        for row in range(self.depth):
-            cells = self.cells(hashes, row)
-            out &= (self.rows[row][(cells >> np.uint64(3)).astype(np.int64)] >> (7 - (cells & np.uint64(7)).astype(np.uint8))) & 1 > 0
-        return out
-

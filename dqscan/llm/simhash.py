@@ -2,20 +2,24 @@
 
 A fingerprint is eight bytes, each at its position. Two fingerprints of at most `max_bits` = 4
 differing bits differ in four bytes at most, so at least four of the eight positional bytes are
-shared: the guaranteed minimum of the count filter. The index is kept at that minimum: its postings
-are filed under every choice of four positional bytes (70 lists a fingerprint), so that a pair meets
-exactly if its tally reaches the minimum, and the short lists of single bytes, whose pairs grow with
-the square of the table, are never walked. Pairs that meet are verified on all 64 bits.
-
-Equal fingerprints are one entry of the index. A posting list never emits its pairs, only a forest
-that spans its verified links; lists of more than `DENSE` entries find links by way of the middle:
-two fingerprints are linked just when some value is within two bits of both, so that each entry is
-filed under the 529 values around the half it doesn't share, and the work stays linear.
+shared: the guaranteed minimum of the count filter. For each pair that the index brings together the
+shared positional bytes are tallied, pairs below the minimum are dropped, and the others are verified
+on all 64 bits.
+
+The index files a fingerprint under the bytes of three positions at a time: twenty choices of three,
+such that any four shared positions hold one of them. Posting lists of single bytes, whose pairs grow
+with the square of the table whatever their bytes, are never walked. A list of more than `DENSE`
+entries is cut by the byte of a fourth position, which a pair that reaches the minimum shares as
+well; one that is longer still finds links by way of the middle: two fingerprints are linked just
+when some value is within two bits of both, so that each entry is filed under the 529 values around
+the half it doesn't share, and the work stays linear. A list never emits its pairs, only a forest
+that spans its verified links. Equal fingerprints are one entry of the index.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; texts of
-fewer than four words hash as one shingle; repeated rows share a component; a null id is ignored by
-component_id unless the component has no other; an empty table gives an empty one; columns beyond
-key and text aren't read.
+fewer than four words hash as one shingle, texts of any length are read whole; repeated rows share a
+component; a null id is ignored by component_id unless the component has no other; ids of any type
+that can be ordered will do; an empty table gives an empty one; other columns aren't read and may
+have any names.
 """
 
 from __future__ import annotations
@@ -26,14 +30,18 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, on_workers, pieces, shuffle_parts, small_batches, spool
+from .common import components, on_workers, pieces, schema_of, small_batches, spool
 
 SEED = 42
+POSITIONS = 8
 DENSE = 1024
-CHOICES = list(combinations(range(8), 4))
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: Three positions of one group, or two of a group and one of the next: any four positions hold such a choice.
+CHOICES = [c for k, g in enumerate(_GROUPS) for c in (*combinations(g, 3), *((*two, one) for two in combinations(g, 2) for one in _GROUPS[(k + 1) % 3]))]
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: All values of 32 bits with at most two bits set.
 NEAR = np.array([0, *(1 << i for i in range(32)), *((1 << i) | (1 << j) for i, j in combinations(range(32), 2))], np.uint32)
@@ -67,18 +75,22 @@ def fingerprint_many(texts: list[bytes], words_each: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 4) -> DataFrame:
-    """key, text_hash and fp, the fingerprint as a signed 64-bit number."""
+    """id, row_hash (of the text and all other columns) and fp, the fingerprint as a signed 64-bit number."""
     on_workers(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
             fp = fingerprint_many([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], words_each)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], names=["id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), pa.array(fp.view(np.int64))], names=["id", "row_hash", "fp"])
+
+    rows = docs.select(F.col(f"`{key}`").alias("id"), row_hash(docs, key, text).alias("row_hash"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema_of(T.StructType([rows.schema["id"]]), "row_hash long, fp long"))
+
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long").withColumnRenamed("id", key)
+def row_hash(docs: DataFrame, key: str, text: str) -> Column:
+    others = [c for c in docs.columns if c not in (key, text)]
+    return F.xxhash64(F.col(f"`{text}`").cast("string"), F.to_json(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in others])))
 
 
 # ---------------------------------------------------------------- the index
@@ -104,41 +116,46 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], nodes[label[below]]
 
 
-def _rest(fps: np.ndarray, choice: int) -> np.ndarray:
-    """The four bytes that a choice leaves out, as 32 bits."""
-    out = np.zeros(len(fps), np.uint32)
-    for k in (k for k in range(8) if k not in CHOICES[choice]):
-        out = (out << np.uint32(8)) | ((fps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint32)
-    return out
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs of fingerprints share."""
+    x = a ^ b
+    for shift in (4, 2, 1):  # the lowest bit of a byte gathers whether any bit of it is set
+        x = x | x >> np.uint64(shift)
+    return POSITIONS - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def retained(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs that pass the count filter, and then the verification on all bits."""
+    found = np.flatnonzero(tally(a, b) >= POSITIONS - max_bits)
+    return found[np.bitwise_count(a[found] ^ b[found]) <= max_bits]
+
+
+def _byte(fps: np.ndarray, position: int) -> np.ndarray:
+    return fps >> np.uint64(8 * position) & np.uint64(255)
 
 
 def postings(fps: np.ndarray) -> np.ndarray:
-    """(fingerprints, choices): the key of each posting, choice << 32 | the four bytes chosen."""
-    byte = [(fps >> np.uint64(8 * k)) & np.uint64(255) for k in range(8)]
+    """(fingerprints, choices): the key of each posting, choice << 24 | the three bytes chosen."""
     out = np.empty((len(fps), len(CHOICES)), np.uint64)
     for c, choice in enumerate(CHOICES):
         value = np.full(len(fps), np.uint64(c))
         for k in choice:
-            value = (value << np.uint64(8)) | byte[k]
+            value = (value << np.uint64(8)) | _byte(fps, k)
         out[:, c] = value
     return out
 
 
 def links(keys: np.ndarray, fps: np.ndarray, max_bits: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """A forest over the verified links of all posting lists given."""
+    if max_bits > 4:
+        raise ValueError("fingerprints that differ in more than four bits need not share four bytes")
     order = np.argsort(keys, kind="stable")
     keys, fps = keys[order], fps[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     size = np.diff(np.r_[first, len(keys)])
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for lo, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        own = fps[lo : lo + n]
-        if n <= DENSE:
-            x, y = np.nonzero(np.bitwise_count(own[:, None] ^ own[None, :]) <= max_bits)
-            x, y = own[x[x < y]], own[y[x < y]]
-        else:
-            x, y = _by_middle(own, int(keys[lo] >> np.uint64(32)), max_bits)
-        x, y = forest(x, y)
+        x, y = _of_list(fps[lo : lo + n], CHOICES[int(keys[lo] >> np.uint64(24))], max_bits)
         a.append(x)
         b.append(y)
     small = np.repeat(size <= 64, size)
@@ -148,17 +165,45 @@ def links(keys: np.ndarray, fps: np.ndarray, max_bits: int = 4) -> tuple[np.ndar
         at = at[keys[at] == keys[at + gap]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + gap]) <= max_bits]
+        near = at[retained(fps[at], fps[at + gap], max_bits)]
         a.append(fps[near])
         b.append(fps[near + gap])
     return forest(np.concatenate(a), np.concatenate(b))
 
 
-def _by_middle(fps: np.ndarray, choice: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_list(own: np.ndarray, shared: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the links of a list whose entries share the bytes of some positions."""
+    if len(own) <= DENSE:
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for lo in range(0, len(own), 128):
+            x, y = np.nonzero(np.arange(lo, min(lo + 128, len(own)))[:, None] < np.arange(len(own)))
+            x, y = own[x + lo], own[y]
+            near = retained(x, y, max_bits)
+            a.append(x[near])
+            b.append(y[near])
+        return forest(np.concatenate(a), np.concatenate(b))
+    if len(shared) == 4:
+        return forest(*_by_middle(own, shared, max_bits))
+    a, b = [], []
+    for k in (k for k in range(POSITIONS) if k not in shared):
+        byte = _byte(own, k)
+        order = np.argsort(byte, kind="stable")
+        cuts = np.searchsorted(byte[order], np.arange(257))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                x, y = _of_list(own[order[lo:hi]], (*shared, k), max_bits)
+                a.append(x)
+                b.append(y)
+    return forest(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.uint64), *b]))
+
+
+def _by_middle(fps: np.ndarray, shared: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a long list, whose entries share four bytes: neighbours under a common middle value."""
     if max_bits != 4:
         raise ValueError("the middle is two bits away from both for max_bits = 4 alone")
-    rest = _rest(fps, choice)
+    rest = np.zeros(len(fps), np.uint32)
+    for k in (k for k in range(POSITIONS) if k not in shared):
+        rest = (rest << np.uint32(8)) | _byte(fps, k).astype(np.uint32)
     a, b = [], []
     for part in range(16):  # a sixteenth of the middle values at a time
         own, middle = [], []
@@ -179,49 +224,51 @@ def _by_middle(fps: np.ndarray, choice: int, max_bits: int) -> tuple[np.ndarray,
 
 def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): links that span the components of the table's fingerprints `fp`, which must be distinct."""
-    spark = fps.sparkSession
-    shards = 4 * shuffle_parts(spark)
+    shards = max(12, fps.count() * len(CHOICES) * 16 // (16 << 20))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             keys = postings(own)
-            shard = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
+            shard = (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
             flat = shard.ravel()
             order = np.argsort(flat, kind="stable")
             cuts = np.searchsorted(flat[order], np.arange(shards + 1))
             keys, entry = keys.ravel()[order], own[order // len(CHOICES)]
             full = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.array([entry[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())],
+                [pa.array(full.astype(np.int32)), pa.array([keys[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes() for k in full], pa.binary()), pa.array([entry[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())],
                 names=["shard", "keys", "fps"],
             )
 
     def verify(_, group):
-        keys, own = (np.frombuffer(b"".join(x.as_py() for x in group[c]), np.uint64) for c in ("keys", "fps"))
-        a, b = links(keys, own, max_bits)
+        keys, own = (np.frombuffer(b"".join(x.as_py() for x in group[c]), kind) for c, kind in (("keys", np.uint32), ("fps", np.uint64)))
+        a, b = links(keys.astype(np.uint64), own, max_bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     return fps.select("fp").mapInArrow(index, "shard int, keys binary, fps binary").groupBy("shard").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
-    """key, text_hash, fingerprint (16 hex digits), component_id (least key that can be reached), component (of fingerprints)."""
+    """key, row_hash, fingerprint (16 hex digits), component_id (least key that can be reached), component (of fingerprints)."""
     rows = spool(fingerprints(docs, key, text), "fingerprints")
-    distinct = spool(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    distinct = spool(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(linked(distinct, max_bits), "a", "b")
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     of = spool(of, "components")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     table = of.select("fp", "component").join(ids, "component")
-    return rows.join(table, "fp").select(key, "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+    return rows.join(table, "fp").select(F.col("id").alias(key), "row_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
-    """The documents, one of each component: that of the least key, the first by a hash of the text among rows that share it."""
+    """The documents, one of each component: that of the least key, among rows that share it the first by a hash of all their columns, equal rows once."""
+    names = docs.columns
     found = near_duplicates(docs, key, text, max_bits)
-    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("h"))
-    best = spool(found.groupBy("component").agg(F.min(row).alias("m")).select(F.col("m.k").alias("__k"), F.col("m.h").alias("__h")), "kept")
-    kept = docs.join(best, docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_semi")
-    repeated = found.groupBy(key, "text_hash").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key, text]) if repeated else kept
+    found = found.select(found[key].alias("k"), "row_hash", "component")
+    best = spool(found.groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "row_hash")).alias("m")).select("m.k", "m.row_hash"), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").alias("k"), row_hash(docs, key, text).alias("row_hash"))
+    kept = rows.alias("r").join(best.alias("b"), F.col("r.k").eqNullSafe(F.col("b.k")) & (F.col("r.row_hash") == F.col("b.row_hash")), "left_semi")
+    if found.groupBy("k", "row_hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["k", "row_hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in names])

@@ -49,7 +49,7 @@ GRAM = 40
 SHALLOW = 24
 BYTES = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
 #: Bytes of fragments that a task holds before it sends them on.
-HELD = 32 << 20
+HELD = 16 << 20
 #: Estimated occurrences of an anchor from which its windows are filed one by one.
 HOT = 1000
 BY_ANCHOR, BY_WINDOW, KEPT = 1, 2, 3

@@ -1,6 +1,7 @@
 """Suffix, SimHash and window dedup against brute force, and the cases their docstrings define."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dqscan.llm import blocks, simhash, suffix_dedup, window_dedup
 
@@ -204,15 +206,32 @@ def test_simhash(spark):
     assert kept == {c for _, c in brute_components(docs).values()}
 
 
-def test_long_posting_lists_lose_no_link():
+def test_any_four_positions_hold_a_choice():
+    choices = [set(c) for c in simhash.CHOICES]
+    assert len(choices) == 20 and all(any(c <= set(four) for c in choices) for four in itertools.combinations(range(8), 4))
+
+
+def test_tally_counts_shared_positional_bytes():
+    rnd = np.random.default_rng(1)
+    a, b = rnd.integers(0, 2**63, 500, dtype=np.uint64), rnd.integers(0, 2**63, 500, dtype=np.uint64)
+    mask = np.array([sum(255 << 8 * k for k in range(8) if i >> k & 1) for i in range(256)], np.uint64)[rnd.integers(0, 256, 500)]
+    b = (b & ~mask) | (a & mask)
+    want = (a.view(np.uint8).reshape(-1, 8) == b.view(np.uint8).reshape(-1, 8)).sum(1)
+    assert (simhash.tally(a, b) == want).all()
+
+
+@pytest.mark.parametrize("bits", [24, 40])
+def test_long_posting_lists_lose_no_link(bits):
+    """Fingerprints around a centre, and others that share bytes with it: lists beyond DENSE are cut, and go by way of the middle."""
     rnd = np.random.default_rng(2)
     centre = rnd.integers(0, 2**63, dtype=np.uint64)
     fps = {int(centre)}
     while len(fps) < 1500:
         x = int(centre)
-        for k in rnd.integers(0, 64, 3):
+        for k in rnd.integers(0, bits, 3):
             x ^= 1 << int(k)
         fps.add(x)
+    fps |= {int(centre) ^ int(x) for x in rnd.integers(0, 2**bits, 1500, dtype=np.uint64)}
     fps = np.array(sorted(fps | {int(x) for x in rnd.integers(0, 2**63, 200, dtype=np.uint64)}), np.uint64)
     a, b = simhash.links(simhash.postings(fps).ravel(), np.repeat(fps, len(simhash.CHOICES)))
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
@@ -223,7 +242,10 @@ def test_long_posting_lists_lose_no_link():
 
 def test_simhash_cases(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    df = spark.createDataFrame([(None, "", 1), (5, None, 2), (9, " ", 3), (9, " ", 3), (3, "one two", 4)], SCHEMA + ", fp int")
+    df = spark.createDataFrame([(None, "", 1), (5, None, 2), (9, " ", 3), (9, " ", 3), (3, "one two", 4), (7, "a b c d e " * 100_000, 5)], SCHEMA + ", fp int")
+    df = df.withColumn("row_hash", F.lit("u")).withColumn("id", F.lit("v")).withColumn("component", F.lit(0))
     got = Counter((r["doc_id"], r["fingerprint"] == "0" * 16, r["component_id"]) for r in simhash.near_duplicates(df).collect())
-    assert got == Counter({(None, True, 5): 1, (5, True, 5): 1, (9, True, 5): 2, (3, False, 3): 1})
-    assert sorted((r["doc_id"], r["fp"]) for r in simhash.one_of_each(df).collect()) == [(3, 4), (5, 2)]
+    assert got == Counter({(None, True, 5): 1, (5, True, 5): 1, (9, True, 5): 2, (3, False, 3): 1, (7, False, 7): 1})
+    assert sorted((r["doc_id"], r["fp"], r["id"]) for r in simhash.one_of_each(df).collect()) == [(3, 4, "v"), (5, 2, "v"), (7, 5, "v")]
+    twins = spark.createDataFrame([("a", "x y z", 1), ("a", "x y z", 2), ("a", "x y z", 2), ("b", "x y z", 3)], "doc_id string, text string, n int")
+    assert [r["doc_id"] for r in simhash.one_of_each(twins).collect()] == ["a"]
