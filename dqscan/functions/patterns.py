@@ -37,6 +37,7 @@ CURRENCY = (
     (r"^\$-?[\d,]+\.\d{2}\s*(USD)?$", "$X,XXX.XX USD"),
 )
 FORMATS = {"date": DATE, "phone": PHONE, "currency": CURRENCY}
+#: What addresses, placeholders, codes in names and ids look like (fixed values).
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PLACEHOLDER = r"^(test|n/?a|null|none|tbd|xxx+|placeholder|default|dummy|sample|todo|temp|unknown|undefined|blank|\.+|0{3,}|-+)$"
 CODE_IN_NAME = r"^[A-Z]{2,}-\d+|^(?i:REF-)"

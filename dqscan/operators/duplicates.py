@@ -34,20 +34,24 @@ def _raw(c: str) -> Column:
     return F.coalesce(F.col(f"`{c}`"), F.lit("nan"))
 
 
+def _key(columns: list[str], form) -> Column:
+    """128 bits of the forms of a row's cells; rows are compared by them, so that no cell travels."""
+    cells = F.to_json(F.array(*[form(F.col(f"`{c}`")) for c in columns]))
+    return F.substring(F.sha2(cells, 256), 1, 32)
+
+
 def phantom_groups(df: DataFrame, content: list[str], signature: list[str]) -> DataFrame:
     """Groups of rows that are equal after normalisation: (key, group_size, first_row, exact_match).
 
     Sizes and flags alone are aggregated, so that a group of any size travels as one row a task.
     """
-    keys = [X.collapsed(F.col(f"`{c}`")) for c in signature]
-    rows = df.select(ROW, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.xxhash64(*[_raw(c) for c in content]).alias("a"), F.xxhash64(F.lit(1), *[_raw(c) for c in content]).alias("b"))
+    rows = df.select(ROW, _key(signature, X.collapsed).alias("key"), F.xxhash64(*[_raw(c) for c in content]).alias("a"), F.xxhash64(F.lit(1), *[_raw(c) for c in content]).alias("b"))
     return rows.groupBy("key").agg(F.count("*").alias("group_size"), F.min(ROW).alias("first_row"), ((F.min("a") == F.max("a")) & (F.min("b") == F.max("b"))).alias("exact_match")).where("group_size > 1")
 
 
 def members(df: DataFrame, groups: DataFrame, columns: list[str], form) -> DataFrame:
     """(row_idx, first_row) of all rows in the groups."""
-    key = F.struct(*[form(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
-    return df.select(ROW, key.alias("key")).join(groups.select("key", "first_row"), "key").select(ROW, "first_row")
+    return df.select(ROW, _key(columns, form).alias("key")).join(groups.select("key", "first_row"), "key").select(ROW, "first_row")
 
 
 def first_rows(member: DataFrame, most: int = 1000) -> DataFrame:
@@ -58,8 +62,7 @@ def first_rows(member: DataFrame, most: int = 1000) -> DataFrame:
 
 def fingerprint_groups(df: DataFrame, content: list[str], matched: DataFrame | None = None) -> DataFrame:
     """Groups of rows with equal sorted tokens in all columns, unless all their rows are matched already: (key, group_size, first_row)."""
-    key = F.struct(*[X.token_print(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(content)])
-    rows = df.select(ROW, key.alias("key"))
+    rows = df.select(ROW, _key(content, X.token_print).alias("key"))
     if matched is not None:
         rows = rows.join(matched.select(ROW, F.lit(1).alias("m")), ROW, "left")
     else:
@@ -71,12 +74,11 @@ def row_text(content: list[str]) -> Column:
     return F.concat_ws("||", *[X.edit_text(F.col(f"`{c}`")) for c in content])
 
 
-def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500, most_candidates: int | None = None) -> DataFrame:
-    """Pairs (a, b) of (row_idx, s) rows that share character k-grams: two of them, or one if the shorter text has under nine characters.
+def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500) -> DataFrame:
+    """Pairs (a, b, shared) of (row_idx, s) rows that share character k-grams: two of them, or one if the shorter text has under nine characters.
 
-    Grams of over `most_postings` rows are stop words. Every such pair is kept; with
-    `most_candidates`, only those among that many best of both rows by shared grams, ties by row
-    number, which loses rows of large families.
+    Grams of over `most_postings` rows are stop words. Every such pair is kept: a bound on the
+    partners of a row would lose rows of large families.
     """
     grams = F.when(F.length("s") < k, F.array("s")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - (k - 1)), lambda i: F.substring("s", i, F.lit(k)))))
     posted = rows.select(ROW, F.length("s").alias("size"), F.explode(grams).alias("gram"))
@@ -85,14 +87,10 @@ def gram_candidates(rows: DataFrame, k: int = 3, most_postings: int = 500, most_
     left = posted.select("gram", F.col(ROW).alias("a"), F.col("size").alias("size_a"))
     right = posted.select("gram", F.col(ROW).alias("b"), F.col("size").alias("size_b"))
     pairs = left.join(right, "gram").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("size_a", "size_b")).alias("shorter"))
-    pairs = pairs.where(F.col("shared") >= F.when(F.col("shorter") < 9, 1).otherwise(2))
-    if most_candidates is None:
-        return pairs.select("a", "b", "shared")
-    rank = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("shared"), "a", "b"))
-    return pairs.withColumn("ra", rank("a")).withColumn("rb", rank("b")).where((F.col("ra") <= most_candidates) & (F.col("rb") <= most_candidates)).select("a", "b", "shared")
+    return pairs.where(F.col("shared") >= F.when(F.col("shorter") < 9, 1).otherwise(2)).select("a", "b", "shared")
 
 
-def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500, n: int | None = None, most_candidates: int | None = None) -> DataFrame:
+def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500, n: int | None = None) -> DataFrame:
     """(a, b, distance, size) of pairs whose edit similarity reaches the threshold.
 
     Small tables are compared pair by pair, larger ones by the candidates of shared grams. The
@@ -103,7 +101,7 @@ def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500
     if n <= brute_force:
         pairs = F.broadcast(left).join(right, F.col("a") < F.col("b"))  # at most `brute_force` rows a side
     else:
-        pairs = gram_candidates(rows, most_candidates=most_candidates).join(left, "a").join(right, "b")
+        pairs = gram_candidates(rows).join(left, "a").join(right, "b")
     size = F.greatest(F.length("sa"), F.length("sb"))
     allowed = F.floor((1 - F.lit(threshold)) * size + 1e-9).cast("int")
     pairs = pairs.select("a", "b", "sa", "sb", size.alias("size"), allowed.alias("allowed")).where(F.abs(F.length("sa") - F.length("sb")) <= F.col("allowed"))
@@ -111,6 +109,23 @@ def close_pairs(rows: DataFrame, threshold: float = 0.85, brute_force: int = 500
     return found.where((F.col("distance") >= 0) & ((F.col("size") == 0) | (1 - F.col("distance") / F.col("size") >= threshold)))
 
 
+def field_differences(df: DataFrame, member: DataFrame, content: list[str], stripped: bool = False, k: int = 5) -> DataFrame:
+    """(first_row, field, values, similarity) of the columns in which the rows of a group differ.
+
+    values: the first `k` different ones in the order of rows, a null reading `nan`; similarity: of
+    the first two in lower case, by edit distance. member: (row_idx, first_row).
+    """
+    shown = [F.coalesce(X.strip(F.col(f"`{c}`")) if stripped else F.col(f"`{c}`"), F.lit("nan")).alias(f"v{i}") for i, c in enumerate(content)]
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"v{i}").alias("value")) for i, c in enumerate(content)])
+    long = member.join(df.select(ROW, *shown), ROW).select("first_row", ROW, F.explode(cells).alias("x")).select("first_row", ROW, "x.*")
+    values = long.groupBy("first_row", "field", "value").agg(F.min(ROW).alias("at"))
+    ranked = values.withColumn("k", F.row_number().over(Window.partitionBy("first_row", "field").orderBy("at"))).where(F.col("k") <= k)
+    listed = ranked.groupBy("first_row", "field").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("values")).where(F.size("values") > 1)
+    one, two = F.lower(F.get("values", F.lit(0))), F.lower(F.get("values", F.lit(1)))
+    longer = F.greatest(F.length(one), F.length(two))
+    return listed.withColumn("similarity", F.when(longer == 0, 1.0).otherwise(F.round(1 - F.levenshtein(one, two) / longer, 2)))
+
+
 def seed_groups(pairs: DataFrame) -> DataFrame:
     """(seed, row_idx): the groups that a walk over ascending rows forms, where each row not yet
     taken takes all later free rows that are close to it.

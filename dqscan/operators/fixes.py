@@ -18,14 +18,16 @@ def dates(c: Column) -> Column:
 
 
 def phones(c: Column) -> Column:
-    d = F.right(F.regexp_replace(c, r"\D", ""), F.lit(10))
-    return F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))
+    """(ddd) ddd-dddd of the last ten digits; a cell of fewer digits stays as it is."""
+    digits = F.regexp_replace(c, r"\D", "")
+    d = F.right(digits, F.lit(10))
+    return F.when(F.length(digits) >= 10, F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))).otherwise(c)
 
 
 def amounts(c: Column) -> Column:
-    """A number; the sign is kept."""
+    """A number; the sign is kept, and brackets around an amount are one."""
     digits = F.nullif(F.regexp_replace(c, r"[^\d.\-]", ""), F.lit(""))
-    return digits.try_cast("double")
+    return F.when(c.rlike(r"^\s*\([^()]*\)\s*$"), -F.abs(digits.try_cast("double"))).otherwise(digits.try_cast("double"))
 
 
 def without_placeholders(c: Column) -> Column:
@@ -84,7 +86,7 @@ def generate_dup_fix(kind: str, detail: dict, sheet: str = "") -> dict | None:
 
 def apply_fix(df: DataFrame, fix: dict, column: str, detail: dict | None = None) -> DataFrame:
     """The transform that a fix describes."""
-    c, detail = F.col(f"`{column}`"), detail or {}
+    c, detail = F.col(f"`{column}`") if column else None, detail or {}
     match fix["strategy"]:
         case "normalize_dates":
             return df.withColumn(column, dates(c))
@@ -106,6 +108,10 @@ def apply_fix(df: DataFrame, fix: dict, column: str, detail: dict | None = None)
             return df.withColumn(f"{column}_missing", X.clean(c).isNull())
         case "fill_missing":
             return df.fillna({column: df.agg(F.mode(c)).first()[0] or ""})
+        case "flag_misuse":
+            return df.withColumn(f"{column}_review", X.strip(c) == F.lit(detail.get("example")))
+        case "review_fuzzy_matches":
+            return df.withColumn("fuzzy_review", F.col("row_idx").isin(*[r - 2 for r in detail.get("rows", [])]))
         case "evaluate_column":
             return df.drop(column)
         case "drop_exact_duplicates":

@@ -50,6 +50,7 @@ class FuzzyDuplicate:
     similarity_threshold: float
     matched_on: list[str]
     sample_data: list[dict]
+    field_differences: dict = field(default_factory=dict)
     fix: FixSuggestion | None = None
 
 
@@ -191,7 +192,7 @@ def typed(results: dict) -> AuditResult:
             for c, f in s["fields"].items()
         ]
         dups = [Duplicate(d["rows"], d["group_size"], d["exact_match"], d["severity"], d["matched_on"], d["sample_data"], _fix(d)) for d in s["phantom_duplicates"]]
-        fuzzy = [FuzzyDuplicate(d["rows"], d["group_size"], d["severity"], d["match_method"], d["similarity_threshold"], d["matched_on"], d["sample_data"], _fix(d)) for d in s["fuzzy_duplicates"]]
+        fuzzy = [FuzzyDuplicate(d["rows"], d["group_size"], d["severity"], d["match_method"], d["similarity_threshold"], d["matched_on"], d["sample_data"], d.get("field_differences", {}), _fix(d)) for d in s["fuzzy_duplicates"]]
         sheets.append(SheetResult(name, s["row_count"], s["col_count"], s["health_score"], fields, dups, fuzzy, [SchemaViolation(**v) for v in s["schema_violations"]], s["severity_counts"], s["full_tables"]))
     t = results.get("trend")
     trend = TrendData(**{k: t[k] for k in TrendData.__dataclass_fields__}) if t else None

@@ -45,10 +45,11 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
     """
     df = C.with_row_idx(C.as_text(df))
     columns = [c for c in df.columns if c != C.ROW]
+    nulls = {r["field"]: r.asDict() for r in C.null_analysis(df).collect()} if columns else {}
     freq = spool(C.frequencies(df))
-    nulls = {r["field"]: r.asDict() for r in C.null_analysis(freq).collect()}
     total = next(iter(nulls.values()))["total_rows"] if nulls else 0
     vals = spool(C.values(freq))
+    nulls = nulls or {c: dict.fromkeys(("null_count", "blank_count", "whitespace_only", "total_missing", "total_rows"), 0) for c in columns}
     types = C.infer_types(df, {c: nulls[c]["total_missing"] < total for c in columns})
     profile = {r["field"]: r.asDict() for r in C.profiles(vals, types).collect()}
     issues: dict[str, list[dict]] = {c: [] for c in columns}
@@ -115,9 +116,9 @@ def audit_dataframe(df: DataFrame, name: str = "table", fuzzy_threshold: float =
 
     sheet: dict = {"row_count": total, "col_count": len(columns), "fields": {}, "phantom_duplicates": [], "fuzzy_duplicates": [], "full_tables": {}}
     for c in columns:
-        sheet["fields"][c] = {"inferred_type": types[c], "null_analysis": null_info[c], "issues": issues[c], "profile": _profile(profile.get(c), total)}
+        sheet["fields"][c] = {"inferred_type": types[c], "null_analysis": null_info[c], "issues": issues[c], "profile": C.finished_profile(profile.get(c), total)}
     whole: list[DataFrame] = []
-    groups = _duplicates(df, freq, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise, whole)
+    groups = duplicate_groups(df, freq, types, total, fuzzy_threshold, sheet, counts, max_listed, max_pairwise, whole)
     if whole:
         sheet["full_tables"]["groups"] = keep(reduce(DataFrame.unionByName, whole), f"{_file_name(name)}-groups", tables)
     sheet["full_tables"]["findings"] = keep(_all_findings(wrong, casing, issues), f"{_file_name(name)}-findings", tables)
@@ -147,33 +148,31 @@ def _all_findings(wrong: DataFrame, casing: DataFrame, issues: dict[str, list[di
     return cells.unionByName(wrong.sparkSession.createDataFrame(few, schema))
 
 
-def _profile(p: dict | None, total: int) -> dict:
-    if p is None:
-        return {"cardinality": 0, "uniqueness_pct": 0, "total_values": total, "non_empty_values": 0, "min_length": 0, "max_length": 0, "avg_length": 0}
-    out = {
-        "cardinality": p["cardinality"], "uniqueness_pct": S.percent(p["cardinality"], p["non_empty_values"]), "total_values": total, "non_empty_values": p["non_empty_values"],
-        "min_length": p["min_length"], "max_length": p["max_length"], "avg_length": round(p["total_length"] / p["non_empty_values"], 1),
-    }
-    return out | {k: round(p[k], 2) for k in ("numeric_min", "numeric_max", "numeric_mean", "numeric_median") if p[k] is not None}
-
-
-def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None, whole: list[DataFrame]) -> Counter:
+def duplicate_groups(df: DataFrame, freq: DataFrame, types: dict, total: int, threshold: float, sheet: dict, counts: Counter, listed: int, max_pairwise: int | None, whole: list[DataFrame]) -> Counter:
+    """Enters the duplicate groups of a table into `sheet`, their severities into `counts` and all their rows into `whole`; gives the groups by kind."""
     kinds: Counter[str] = Counter()
     if total < 2:
         return kinds
     ids, content, signature = D.content_columns(df, types, freq)
     first_six = [c for c in df.columns if c != C.ROW][:6]
 
-    def describe(groups: DataFrame, member: DataFrame, matched_on: list[str]) -> list[dict]:
+    def describe(groups: DataFrame, member: DataFrame, matched_on: list[str], differences: str | None = None) -> list[dict]:
+        """The first groups with their first rows; `differences`: how their columns differ, by values or with similarities."""
         top = groups.orderBy("first_row").limit(listed)
         keep = spool(member.join(F.broadcast(top.select("first_row")), "first_row"))  # `listed` groups at most
         rows = {r["first_row"]: r["rows"] for r in D.first_rows(keep, listed).collect()}
         wanted = sorted({x for r in rows.values() for x in r[:3]})
         cells = {r[C.ROW]: r for r in df.where(F.col(C.ROW).isin(*wanted)).collect()} if wanted else {}
+        differ: dict[int, dict] = defaultdict(dict)
+        if differences:
+            for r in D.field_differences(df, keep, content, differences == "levenshtein").collect():
+                differ[r["first_row"]][r["field"]] = {"values": r["values"], "similarity": r["similarity"]} if differences == "levenshtein" else r["values"]
         out = []
         for g in top.collect():
             own = rows[g["first_row"]]
             out.append({"rows": [r + 2 for r in own], "group_size": g["group_size"], "sample_data": [{c: cells[r][c] for c in first_six} for r in own[:3]], "matched_on": matched_on, "excluded_id_cols": ids})
+            if differences:
+                out[-1]["field_differences"] = {c: differ[g["first_row"]][c] for c in content if c in differ[g["first_row"]]}
         return out
 
     def record(kind, groups: DataFrame, member: DataFrame):
@@ -205,7 +204,7 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
     prints = spool(D.fingerprint_groups(df, content, matched))
     by_print = spool(D.members(df, prints, content, X.token_print))
     record(F.lit("fingerprint"), prints, by_print)
-    found = describe(prints, by_print, content)
+    found = describe(prints, by_print, content, "fingerprint")
     n = prints.count()
     kinds["fuzzy_duplicate"] += n
     counts["Medium"] += n
@@ -226,7 +225,7 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
     sizes = grouped.groupBy("first_row").agg((F.count("*") + 1).alias("group_size"))
     everyone = grouped.unionByName(sizes.select("first_row", F.col("first_row").alias(C.ROW)))
     record(F.lit("levenshtein"), sizes, everyone)
-    found = describe(sizes, everyone, content)
+    found = describe(sizes, everyone, content, "levenshtein")
     n = sizes.count()
     kinds["fuzzy_duplicate"] += n
     counts["Low"] += n
@@ -236,12 +235,12 @@ def _duplicates(df: DataFrame, freq: DataFrame, types: dict, total: int, thresho
     return kinds
 
 
-def run_audit(spark: SparkSession, path: str, fuzzy_threshold: float = 0.85, schema_path: str | None = None, baseline_path: str | None = None, rules_path: str | None = None, **options) -> dict:
-    """Results of all sheets of a file."""
+def run_audit(spark: SparkSession, path: str, fuzzy_threshold: float = 0.85, schema_path: str | None = None, baseline_path: str | None = None, rules_path: str | None = None, sheets: dict[str, DataFrame] | None = None, **options) -> dict:
+    """Results of all sheets of a file, which may be loaded already."""
     schema = load_schema(schema_path) if schema_path else None
     rules = R.load_rules(rules_path) if rules_path else None
     results: dict = {"input_file": os.path.basename(path), "audit_timestamp": datetime.now().strftime("%Y-%m-%d %H:%M:%S"), "sheets": {}}
-    for name, df in load_sheets(spark, path).items():
+    for name, df in (load_sheets(spark, path) if sheets is None else sheets).items():
         if not df.columns or not df.limit(1).count():
             continue
         sheet = results["sheets"][name] = audit_dataframe(df, name, fuzzy_threshold, rules, schema, **options)

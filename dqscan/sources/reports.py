@@ -31,13 +31,22 @@ def rows_of(results: dict) -> list[dict]:
                 out.append({"sheet": sheet, "field": column, "type": i.get("rule_name", i["type"]), "kind": i["type"], "severity": i["severity"], "text": describe(i), "why": i.get("why", ""), "fix": i.get("fix") or {}, "inferred": f["inferred_type"], "profile": f["profile"]})
         for part in ("phantom_duplicates", "fuzzy_duplicates"):
             for d in s.get(part, []):
-                text = f"{d['group_size']} rows: {', '.join(map(str, d['rows'][:5]))}"
+                text = f"{d['group_size']} rows: {', '.join(map(str, d['rows'][:5]))}" + differing(d)
                 out.append({"sheet": sheet, "field": "(row-level)", "type": d["type"], "kind": d["type"], "severity": d["severity"], "text": text, "why": d.get("why", ""), "fix": d.get("fix") or {}, "inferred": "", "profile": {}})
         for v in s.get("schema_violations", []):
             out.append({"sheet": sheet, "field": v["column"], "type": v["type"], "kind": v["type"], "severity": v["severity"], "text": json.dumps(v["detail"]), "why": v.get("why", ""), "fix": {}, "inferred": "", "profile": {}})
     return out
 
 
+def differing(group: dict) -> str:
+    """How the rows of a fuzzy group differ, as text."""
+    parts = []
+    for c, x in group.get("field_differences", {}).items():
+        values, alike = (x["values"], f" ({x['similarity']})") if isinstance(x, dict) else (x, "")
+        parts.append(f"{c}: {' / '.join(values)}{alike}")
+    return "; " + "; ".join(parts) if parts else ""
+
+
 def counts_of(results: dict) -> dict[str, int]:
     """Findings by severity, those beyond the lists too."""
     from dqscan.plans.audit import count_issues

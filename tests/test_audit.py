@@ -15,7 +15,7 @@ from dqscan.plans import catalogue
 from dqscan.plans.api import audit_file, audit_table
 from dqscan.plans.audit import count_issues, run_audit, run_multi_audit
 from dqscan.sources import reports
-from dqscan.sources.files import load_sheets, resolve_inputs, unique_names
+from dqscan.sources.files import load_sheets, resolve_inputs, skipped_inputs, unique_names
 
 DATA = "/root/testdata/sf0.001"
 MESSY = [
@@ -96,13 +96,70 @@ def test_reports(results, tmp_path):
 
 
 def test_command_line(spark, messy, tmp_path):
-    args = ["--input", str(messy / "messy.csv"), "--output", str(tmp_path), "--json", "--sarif", "--export-fixes", "--generate-schema", "--quiet"]
+    paths = ["--sarif", str(tmp_path / "audit_results.sarif"), "--export-fixes", str(tmp_path / "remediation_plan.csv"), "--generate-schema", str(tmp_path / "generated_schema.json")]
+    args = ["-i", str(messy / "messy.csv"), "-o", str(tmp_path), "--json", *paths, "-q"]
     assert cli.main(args, spark) == 0
     assert {p.name for p in tmp_path.iterdir()} == {"messy_audit_report.html", "messy_audit_findings.xlsx", "messy_audit_report.pdf", "messy_audit_results.json", "audit_results.sarif", "remediation_plan.csv", "generated_schema.json"}
-    again = ["--input", str(messy / "messy.csv"), "--output", str(tmp_path), "--quiet", "--baseline", str(tmp_path / "messy_audit_results.json"), "--schema", str(tmp_path / "generated_schema.json"), "--fail-under", "101"]
+    again = ["--input", str(messy / "messy.csv"), "--output", str(tmp_path), "--quiet", "-b", str(tmp_path / "messy_audit_results.json"), "-s", str(tmp_path / "generated_schema.json"), "--fail-under", "101"]
     assert cli.main(again, spark) == 1
-    assert cli.main(["--input", str(tmp_path / "none")], spark) == 1
-    assert cli.main(["--input", str(messy / "messy.csv"), "--max-rows", "3", "--quiet"], spark) == 1
+    assert cli.main(["--input", str(tmp_path / "none"), "-o", str(tmp_path)], spark) == 1
+    assert cli.main(["--input", str(messy / "messy.csv"), "-o", str(tmp_path), "--max-rows", "3", "--quiet"], spark) == 1
+
+
+def test_reports_of_one_name_stay_apart(tmp_path):
+    assert cli.stems(["a/x.csv", "b/x.csv", "b/x.tsv", "b/y.csv"]) == ["a_x_csv", "b_x_csv", "b_x_tsv", "y"]
+    (tmp_path / "old.xls").write_text("")
+    assert resolve_inputs(str(tmp_path)) == [] and skipped_inputs(str(tmp_path)) == [str(tmp_path / "old.xls")]
+
+
+def test_dates_and_numbers_of_workbooks(spark, tmp_path):
+    """Serial numbers in date formats read as dates, whole numbers without a point."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    path = str(tmp_path / "d.xlsx")
+    reports.write_xlsx(path, {"S": [["When", "N"]]})
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/styles.xml"] = f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;x&quot;"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'.encode()
+    cells = [("44941", 1), ("44941.5", 2), ("0.25", 1), ("7.50", 3), ("12", 0), ("0.1", 0)]
+    rows = "".join(f'<row r="{k + 2}"><c r="A{k + 2}" s="{s}"><v>{v}</v></c></row>' for k, (v, s) in enumerate(cells))
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>When</t></is></c></row>{rows}</sheetData></worksheet>'.encode()
+    with zipfile.ZipFile(path, "w") as z:
+        for n, x in parts.items():
+            z.writestr(n, x)
+    got = [r["When"] for r in load_sheets(spark, path)["S"].orderBy("row_idx").collect()]
+    assert got == ["2023-01-15 00:00:00", "2023-01-15 12:00:00", "06:00:00", "7.5", "12", "0.1"]
+
+
+def test_headers_over_several_lines_and_names_of_our_own(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('"first\nname",row_idx\nAnn,7\nBob,9\n')
+    df = load_sheets(spark, str(tmp_path / "h.csv"))["h"]
+    assert df.columns == ["row_idx", "first\nname", "row_idx (own)"]
+    assert [tuple(r) for r in df.orderBy("row_idx").collect()] == [(0, "Ann", "7"), (1, "Bob", "9")]
+    own = spark.createDataFrame([("a", "x"), ("b", "y")], "row_idx string, n string")
+    assert set(audit_table(own).raw["sheets"]["table"]["fields"]) == {"row_idx (own)", "n"}
+
+
+def test_differences_of_fuzzy_groups(spark):
+    df = spark.createDataFrame([("1", "Smith, John", "Portland"), ("2", "John Smith", "Portland"), ("3", "Smith, John", "Seattle"), ("4", "Johnathan Smithson", "Austin"), ("5", "Johnathon Smithson", "Austin")], "ID string, Name string, City string")
+    prints, edits = audit_table(df).sheets[0].fuzzy_duplicates
+    assert prints.field_differences == {"Name": ["Smith, John", "John Smith"]}
+    assert edits.field_differences == {"Name": {"values": ["Johnathan Smithson", "Johnathon Smithson"], "similarity": 0.94}}
+    assert "Name: Smith, John / John Smith" in reports.rows_of(audit_table(df).raw)[-2]["text"]
+
+
+def test_public_names(spark):
+    import dqscan
+
+    assert all(getattr(dqscan, n) is not None for n in dqscan.__all__)
+    df = spark.createDataFrame([("C-1", "2023-01-02", "REF-1"), ("2", "01/02/2023", "N/A"), ("C-1", "x", " ")], "Customer_ID string, Join_Date string, Name string")
+    assert dqscan.infer_field_type(df, "Join_Date") == "date"
+    assert dqscan.analyze_nulls(df, "Name")["whitespace_only"] == 1
+    assert dqscan.analyze_mixed_formats(df, "Join_Date")["sample_nonstandard"] == ["x"] and dqscan.analyze_mixed_formats(df, "Name") is None
+    assert [d["issue"] for d in dqscan.analyze_wrong_purpose(df, "Customer_ID")] == ["Mixed ID formats"]
+    assert [d["value"] for d in dqscan.analyze_placeholders(df, "Name")] == ["N/A"]
+    twice = df.unionByName(df)
+    assert [d["rows"] for d in dqscan.analyze_phantom_duplicates(twice)] == [[2, 5], [3, 6], [4, 7]]
+    assert dqscan.analyze_fuzzy_duplicates(df.select("Name")) == []
 
 
 def test_typed_results(spark, messy):
@@ -184,3 +241,26 @@ def test_entry(spark):
 
 def test_json_round_trip(results):
     assert json.loads(json.dumps(results, default=str))["overall_score"] == results["overall_score"]
+
+
+def test_planted_faults_are_found(spark, tmp_path):
+    """Every fault of the sample workbook, counted off its rows."""
+    from dqscan.sources import sample
+
+    sheets = run_audit(spark, sample.write_sample(str(tmp_path / "sample.xlsx"), 120))["sheets"]
+    rows = sample.customers(120)[1:]
+    fields = sheets["Customers"]["fields"]
+    found = lambda c, kind: [i["detail"] for i in fields[c]["issues"] if i["type"] == kind]
+    assert sheets["Customers"]["row_count"] == len(rows) == 126 and sheets["Orders"]["row_count"] == 135
+    assert found("JoinDate", "mixed_format")[0]["inconsistent_count"] == sum("/" in r[4] for r in rows)
+    assert found("Phone", "mixed_format")[0]["inconsistent_count"] == sum("." in r[3] for r in rows)
+    issues = lambda c, start: sum(d["issue"].startswith(start) for d in found(c, "wrong_purpose"))
+    assert issues("Name", "Code/ID") == sum("REF-" in r[1] for r in rows)
+    assert issues("Balance", "Text") == sum("known" in r[5] for r in rows)
+    assert issues("Email", "Invalid") == sum(r[2] == "no address" for r in rows)
+    assert issues("Status", "Inconsistent casing") == 1
+    assert found("Notes", "placeholder_value")[0]["count"] == sum(r[7] == "TBD" for r in rows)
+    assert fields["Notes"]["null_analysis"]["null_count"] == sum(r[7] is None for r in rows)
+    assert [d["type"] for d in sheets["Customers"]["phantom_duplicates"]] == ["phantom_duplicate"] * 6
+    assert [d["type"] for d in sheets["Orders"]["phantom_duplicates"]] == ["exact_duplicate"] * 15
+    assert sheets["Orders"]["fields"]["ShipDate"]["null_analysis"]["null_count"] == sum(r[4] is None for r in sample.orders(120))

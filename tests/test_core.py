@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+import statistics
 from collections import Counter
 
 import pytest
@@ -42,13 +43,13 @@ def test_first_hint_wins(name, kind):
 
 
 def test_missing_kinds_are_disjoint(spark):
-    n = C.null_analysis(C.frequencies(frame(spark, [("a",), ("",), ("  ",), (None,), ("b",)], ["x"]))).first()
+    n = C.null_analysis(frame(spark, [("a",), ("",), ("  ",), (None,), ("b",)], ["x"])).first()
     assert (n["null_count"], n["blank_count"], n["whitespace_only"], n["total_missing"], n["total_rows"]) == (1, 1, 1, 3, 5)
 
 
 def test_empty_table(spark):
     df = frame(spark, [], ["x", "y"])
-    assert C.null_analysis(C.frequencies(df)).count() == 0
+    assert C.null_analysis(df).count() == 0
     assert C.values(C.frequencies(df)).count() == 0
     assert D.phantom_groups(df, ["x", "y"], ["x"]).count() == 0
 
@@ -78,6 +79,35 @@ def test_profile(spark):
     assert (p["cardinality"], p["numeric_min"], p["numeric_max"], p["numeric_mean"], p["numeric_median"]) == (5, 100, 400, 250, 250)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_medians_are_exact(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(f"f{k}", float(rnd.choice([rnd.randint(0, 9), rnd.gauss(0, 1000), 7]))) for k in range(5) for _ in range(rnd.randint(1, 900))]
+    df = spark.createDataFrame([(f, x, n) for (f, x), n in Counter(rows).items()], "field string, x double, n long").repartition(3)
+    want = {f: statistics.median(x for g, x in rows if g == f) for f in {f for f, _ in rows}}
+    assert {r["field"]: r["numeric_median"] for r in C.medians(df, 16).collect()} == want
+
+
+def test_votes_of_all_columns_in_one_pass(spark):
+    df = frame(spark, [(f"2023-01-{k % 28 + 1:02}" if k < 200 else "x", None if k % 2 else "12") for k in range(500)], ["a", "b"])
+    got = {r["field"]: (r["n"], r["date"], r["currency"]) for r in C.content_votes(df, ["a", "b"]).collect()}
+    assert got == {"a": (200, 200, 0), "b": (200, 0, 200)}
+
+
+def test_missing_cells_are_counted_without_shuffling_them(spark):
+    plan = C.null_analysis(frame(spark, [("a", "b")], ["x", "y"]))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_short_numbers_and_bracketed_amounts(spark):
+    df = frame(spark, [("12", "(5.00)"), ("call me", "$7"), ("555.123.4567", "(x)")], ["p", "a"])
+    got = df.orderBy("row_idx").select(fixes.phones(F.col("p")), fixes.amounts(F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [("12", -5.0), ("call me", 7.0), ("(555) 123-4567", None)]
+    marked = fixes.apply_fix(df, {"strategy": "review_fuzzy_matches"}, "", {"rows": [2, 4]})
+    assert [r["fuzzy_review"] for r in marked.orderBy("row_idx").collect()] == [True, False, True]
+    assert fixes.apply_fix(df, {"strategy": "flag_misuse"}, "p", {"example": "12"}).where("p_review").count() == 1
+
+
 def test_misuse(spark):
     df = frame(spark, [("REF-1", "abc", "a@b.co"), ("123", "$5", "N/A"), ("ref-x", "5", "bad"), ("Ann", None, None)], ["name", "amount", "email"])
     got = {(r["field"], r["issue"].split()[0], r["row_idx"]) for r in C.misused_cells(df, {"name": "name", "amount": "currency", "email": "email"}).collect()}
