@@ -154,8 +154,11 @@ class Sketch:
         self.wide = -(-(2**self.bits) // self.shards)
 
     def entries(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different entries of a block in ascending order, how often each is met, and the entry of each hash."""
-        v, where, n = np.unique(hashes >> np.uint64(64 - self.bits), return_inverse=True, return_counts=True)
+        """Different entries of a block in ascending order, how often each is met, and the entry of each hash.
+
+        Hashes are mixed anew, as those that were picked for being small would crowd the first shards.
+        """
+        v, where, n = np.unique(mixed(hashes) >> np.uint64(64 - self.bits), return_inverse=True, return_counts=True)
         return v, n, where
 
     def _cuts(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,7 @@ class Sketch:
             cells = lambda part: (mixed(v[part] + np.uint64((row + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) >> np.uint64(64 - width)).astype(np.int64)  # noqa: E731, B023
             counters[:] = 0
             for part in parts:
-                np.add.at(counters, cells(part), n[part])
+                np.add.at(counters, cells(part), n[part].astype(np.uint32))  # other types take a slow path
             for part in parts:
                 np.minimum(out[part], counters[cells(part)], out=out[part])
         return np.split(out, to[1:-1])

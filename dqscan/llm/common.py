@@ -45,9 +45,10 @@ def on_workers(spark: SparkSession) -> None:
     sc._dqscan_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps an Arrow batch of texts within a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Keeps an Arrow batch of texts within a worker's memory, by rows and by bytes. Settings of the session that no result depends on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def schema_of(first: T.StructType, rest: str) -> T.StructType:

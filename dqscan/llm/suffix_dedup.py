@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
     search = Search(size, width)
     anchors = spool(counted(blocks, search.marks, search.anchors, BY_ANCHOR, hot), "anchors")
     windows = spool(counted(with_answers(blocks, anchors), search.hot, search.windows, BY_WINDOW), "windows")
-    shards = max(24, size // (8 << 20))
+    shards = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (8 << 20))
     packed_type = "block long, kind int, shard int, answer binary"
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
