@@ -24,7 +24,7 @@ have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, on_workers, pieces, schema_of, small_batches, spool
+from .common import components, mixed, on_workers, pieces, schema_of, small_batches, spool
 
 SEED = 42
 POSITIONS = 8
@@ -59,33 +59,45 @@ def shingle_hashes(text: bytes, words_each: int = 4) -> list[int]:
     return [digest(line[s:e], SEED) for s, e in zip(starts, ends[words_each - 1 :], strict=False)]
 
 
-def fingerprint_many(texts: list[bytes], words_each: int = 4) -> np.ndarray:
-    lists = [shingle_hashes(t, words_each) for t in texts]
-    sizes = np.array([len(x) for x in lists])
-    out = np.zeros(len(texts), np.uint64)
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts whose hashes lie one behind the other, `sizes` of them each: bits set in over half of them."""
+    out = np.zeros(len(sizes), np.uint64)
     filled = np.flatnonzero(sizes)
-    if not len(filled):
-        return out
-    h = np.fromiter((x for xs in lists for x in xs), np.uint64, int(sizes.sum()))
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    starts = (np.cumsum(sizes) - sizes)[filled]
-    tally = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    out[filled] = np.packbits(2 * tally > sizes[filled, None], axis=1).copy().view(">u8").ravel()
+    if len(filled):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        tally = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[filled], axis=0, dtype=np.int32)
+        out[filled] = np.packbits(2 * tally > sizes[filled, None], axis=1).copy().view(">u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 4) -> DataFrame:
-    """id, row_hash (of the text and all other columns) and fp, the fingerprint as a signed 64-bit number."""
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter((x for xs in lists for x in xs), np.uint64, int(sizes.sum())), sizes
+
+
+def fingerprint_many(texts: list[bytes], words_each: int = 4) -> np.ndarray:
+    return majority(*_joined([shingle_hashes(t, words_each) for t in texts]))
+
+
+def word_prints(texts: list[bytes], prints: int) -> list[np.ndarray]:
+    """Independent fingerprints of the different words of each text: what a near copy changes least."""
+    digest = xxhash.xxh64_intdigest
+    h, sizes = _joined([[digest(w, SEED) for w in set(t.translate(LOWER).split())] for t in texts])
+    return [majority(mixed(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)), sizes) for k in range(prints)]
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, make: Callable[[list[bytes]], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """id, row_hash (of the text and all other columns) and the fingerprints, as signed 64-bit numbers."""
     on_workers(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            fp = fingerprint_many([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], words_each)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), pa.array(fp.view(np.int64))], names=["id", "row_hash", "fp"])
+            made = make([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_hash"), *(pa.array(x.view(np.int64)) for x in made)], names=["id", "row_hash", *names])
 
     rows = docs.select(F.col(f"`{key}`").alias("id"), row_hash(docs, key, text).alias("row_hash"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema_of(T.StructType([rows.schema["id"]]), "row_hash long, fp long"))
+    return rows.mapInArrow(run, schema_of(T.StructType([rows.schema["id"]]), "row_hash long, " + ", ".join(f"{n} long" for n in names)))
 
 
 def row_hash(docs: DataFrame, key: str, text: str) -> Column:
@@ -145,17 +157,22 @@ def postings(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(keys: np.ndarray, fps: np.ndarray, max_bits: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the verified links of all posting lists given."""
+def links(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray | None = None, max_bits: int = 4, node_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the verified links of all posting lists given.
+
+    Links are those of fingerprints, or of the `nodes` that have them; these too may be asked to
+    differ in `node_bits` at most.
+    """
     if max_bits > 4:
         raise ValueError("fingerprints that differ in more than four bits need not share four bytes")
+    nodes = fps if nodes is None else nodes
     order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
+    keys, fps, nodes = keys[order], fps[order], nodes[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     size = np.diff(np.r_[first, len(keys)])
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for lo, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        x, y = _of_list(fps[lo : lo + n], CHOICES[int(keys[lo] >> np.uint64(24))], max_bits)
+        x, y = _of_list(fps[lo : lo + n], nodes[lo : lo + n], CHOICES[int(keys[lo] >> np.uint64(24)) % len(CHOICES)], max_bits, node_bits)
         a.append(x)
         b.append(y)
     small = np.repeat(size <= 64, size)
@@ -166,35 +183,65 @@ def links(keys: np.ndarray, fps: np.ndarray, max_bits: int = 4) -> tuple[np.ndar
         if not len(at):
             break
         near = at[retained(fps[at], fps[at + gap], max_bits)]
-        a.append(fps[near])
-        b.append(fps[near + gap])
+        near = near[np.bitwise_count(nodes[near] ^ nodes[near + gap]) <= node_bits]
+        a.append(nodes[near])
+        b.append(nodes[near + gap])
     return forest(np.concatenate(a), np.concatenate(b))
 
 
-def _of_list(own: np.ndarray, shared: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_list(own: np.ndarray, nodes: np.ndarray, shared: tuple[int, ...], max_bits: int, node_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest over the links of a list whose entries share the bytes of some positions."""
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     if len(own) <= DENSE:
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for lo in range(0, len(own), 128):
             x, y = np.nonzero(np.arange(lo, min(lo + 128, len(own)))[:, None] < np.arange(len(own)))
-            x, y = own[x + lo], own[y]
-            near = retained(x, y, max_bits)
+            x += lo
+            near = retained(own[x], own[y], max_bits)
+            x, y = nodes[x[near]], nodes[y[near]]
+            near = np.bitwise_count(x ^ y) <= node_bits
             a.append(x[near])
             b.append(y[near])
-        return forest(np.concatenate(a), np.concatenate(b))
-    if len(shared) == 4:
-        return forest(*_by_middle(own, shared, max_bits))
-    a, b = [], []
-    for k in (k for k in range(POSITIONS) if k not in shared):
-        byte = _byte(own, k)
-        order = np.argsort(byte, kind="stable")
-        cuts = np.searchsorted(byte[order], np.arange(257))
+    elif len(shared) < 4:
+        for k in (k for k in range(POSITIONS) if k not in shared):
+            byte = _byte(own, k)
+            order = np.argsort(byte, kind="stable")
+            cuts = np.searchsorted(byte[order], np.arange(257))
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi - lo > 1:
+                    x, y = _of_list(own[order[lo:hi]], nodes[order[lo:hi]], (*shared, k), max_bits, node_bits)
+                    a.append(x)
+                    b.append(y)
+    else:
+        below, root = forest(*_by_middle(own, shared, max_bits))
+        if node_bits >= 64 and nodes is own:
+            return below, root
+        at = np.minimum(np.searchsorted(below, own), max(len(below) - 1, 0))
+        part = np.where(below[at] == own, root[at], own) if len(below) else own
+        order = np.argsort(part, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]), len(own)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo > 1:
-                x, y = _of_list(own[order[lo:hi]], (*shared, k), max_bits)
-                a.append(x)
-                b.append(y)
-    return forest(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.uint64), *b]))
+            x, y = _reached(own[order[lo:hi]], nodes[order[lo:hi]], max_bits, node_bits)
+            a.append(x)
+            b.append(y)
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def _reached(own: np.ndarray, nodes: np.ndarray, max_bits: int, node_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links found by a walk: an entry that is met is held against those not met yet, which are few in a dense group."""
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    left, waiting = np.arange(len(own)), []
+    while len(left):
+        if not waiting:
+            waiting, left = [int(left[0])], left[1:]
+        x = waiting.pop()
+        near = (tally(own[left], own[x]) >= POSITIONS - max_bits) & (np.bitwise_count(own[left] ^ own[x]) <= max_bits) & (np.bitwise_count(nodes[left] ^ nodes[x]) <= node_bits)
+        if near.any():
+            met = left[near]
+            a.append(nodes[met])
+            b.append(np.full(len(met), nodes[x]))
+            waiting += met.tolist()
+            left = left[~near]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _by_middle(fps: np.ndarray, shared: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,38 +269,39 @@ def _by_middle(fps: np.ndarray, shared: tuple[int, ...], max_bits: int) -> tuple
     return np.concatenate(a), np.concatenate(b)
 
 
-def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b): links that span the components of the table's fingerprints `fp`, which must be distinct."""
-    shards = max(12, fps.count() * len(CHOICES) * 16 // (16 << 20))
+def linked(entries: DataFrame, prints: list[str], node: str, max_bits: int = 4, node_bits: int = 64) -> DataFrame:
+    """(a, b): links that span the components of the distinct entries' nodes, by any of their fingerprints `prints`."""
+    shards = max(12, entries.count() * len(prints) * len(CHOICES) * 20 // (16 << 20))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = postings(own)
+            column = lambda n, batch=batch: batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = np.concatenate([postings(column(p)) + np.uint64(k * len(CHOICES) << 24) for k, p in enumerate(prints)], axis=1)
+            own = np.repeat(np.stack([column(p) for p in prints], 1), len(CHOICES), axis=1).ravel()
+            nodes = np.repeat(column(node), keys.shape[1])
+            keys = keys.ravel()
             shard = (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
-            flat = shard.ravel()
-            order = np.argsort(flat, kind="stable")
-            cuts = np.searchsorted(flat[order], np.arange(shards + 1))
-            keys, entry = keys.ravel()[order], own[order // len(CHOICES)]
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([keys[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes() for k in full], pa.binary()), pa.array([entry[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())],
-                names=["shard", "keys", "fps"],
-            )
+            cut = lambda x, order=order, cuts=cuts, full=full: pa.array([x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(keys.astype(np.uint32)), cut(own), cut(nodes) if [node] != prints else pa.nulls(len(full), pa.binary())], names=["shard", "keys", "fps", "nodes"])
 
     def verify(_, group):
-        keys, own = (np.frombuffer(b"".join(x.as_py() for x in group[c]), kind) for c, kind in (("keys", np.uint32), ("fps", np.uint64)))
-        a, b = links(keys.astype(np.uint64), own, max_bits)
+        read = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in group[c]), kind)
+        nodes = None if [node] == prints else read("nodes", np.uint64)
+        a, b = links(read("keys", np.uint32).astype(np.uint64), read("fps", np.uint64), nodes, max_bits, node_bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return fps.select("fp").mapInArrow(index, "shard int, keys binary, fps binary").groupBy("shard").applyInArrow(verify, "a long, b long")
+    columns = list(dict.fromkeys([*prints, node]))
+    return entries.select(*columns).mapInArrow(index, "shard int, keys binary, fps binary, nodes binary").groupBy("shard").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
     """key, row_hash, fingerprint (16 hex digits), component_id (least key that can be reached), component (of fingerprints)."""
-    rows = spool(fingerprints(docs, key, text), "fingerprints")
+    rows = spool(fingerprints(docs, key, text, lambda texts: [fingerprint_many(texts)], ["fp"]), "fingerprints")
     distinct = spool(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(linked(distinct, max_bits), "a", "b")
+    roots = components(linked(distinct, ["fp"], "fp", max_bits), "a", "b")
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     of = spool(of, "components")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -261,12 +309,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     return rows.join(table, "fp").select(F.col("id").alias(key), "row_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
-    """The documents, one of each component: that of the least key, among rows that share it the first by a hash of all their columns, equal rows once."""
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", prints: int = 5, max_bits: int = 4, check_words: int = 5, check_bits: int = 12) -> DataFrame:
+    """key, row_hash, component: groups of copies that differ more than a single fingerprint of shingles allows.
+
+    A changed word alters all shingles that hold it, but one of the text's different words. Candidates
+    come from the index over `prints` independent fingerprints of the different words, each tallied and
+    verified at `max_bits`; a candidate stays if the fingerprints of its shingles of five words agree in
+    at least 0.8 of their bits. Texts of equal such fingerprints are one node.
+    """
+    names = [f"p{k}" for k in range(prints)]
+    make = lambda texts: [*word_prints(texts, prints), fingerprint_many(texts, check_words)]
+    rows = spool(fingerprints(docs, key, text, make, [*names, "fp"]), "fingerprints")
+    entries = spool(rows.select(*names, "fp").distinct(), "distinct")
+    roots = components(linked(entries, names, "fp", max_bits, check_bits), "a", "b")
+    return rows.join(roots, rows.fp == roots.node, "left").select(F.col("id").alias(key), "row_hash", F.coalesce("root", "fp").alias("component"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The documents, one of each group: that of the least key, among rows that share it the first by a hash of all their columns, equal rows once."""
     names = docs.columns
-    found = near_duplicates(docs, key, text, max_bits)
-    found = found.select(found[key].alias("k"), "row_hash", "component")
-    best = spool(found.groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "row_hash")).alias("m")).select("m.k", "m.row_hash"), "kept")
+    found = groups(docs, key, text)
+    found = spool(found.select(found[key].alias("k"), "row_hash", "component"), "grouped")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "row_hash")).alias("m")).select("m.k", "m.row_hash")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").alias("k"), row_hash(docs, key, text).alias("row_hash"))
     kept = rows.alias("r").join(best.alias("b"), F.col("r.k").eqNullSafe(F.col("b.k")) & (F.col("r.row_hash") == F.col("b.row_hash")), "left_semi")
     if found.groupBy("k", "row_hash").count().where("count > 1").limit(1).count():

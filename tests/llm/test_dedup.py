@@ -163,17 +163,27 @@ def test_few_single_entries_pass_the_sketch(expected):
     sketch = blocks.Sketch(expected)
     rnd = np.random.default_rng(5)
     n = min(sketch.SHARD, expected // sketch.shards)
-    edge = sketch.wide << (64 - sketch.bits)
-    single, double = rnd.integers(0, edge, n, dtype=np.uint64), rnd.integers(0, edge, 1000, dtype=np.uint64)
-    parts = [np.r_[single[: n // 2], double], np.r_[single[n // 2 :], double]]
-    entries = [sketch.entries(p) for p in parts]
-    pieces = [piece for v, c, _ in entries for shard, piece in sketch.pieces(v, c) if shard == 0]
-    found = sketch.estimates(pieces)
-    passed = np.concatenate([e[where] >= 2 for e, (_, _, where) in zip(found, entries, strict=True)])
+    single, double = rnd.integers(0, 2**62, n, dtype=np.uint64), rnd.integers(0, 2**62, 1000, dtype=np.uint64)
+    squeeze = lambda v: v % np.uint64(sketch.wide)  # all into the first shard
+    parts = []
+    for own in (np.r_[single[: n // 2], double], np.r_[single[n // 2 :], double]):
+        v, where, c = np.unique(squeeze(blocks.mixed(own)), return_inverse=True, return_counts=True)
+        parts.append((v, c, where))
+    pieces = [piece for v, c, _ in parts for shard, piece in sketch.pieces(v, c) if shard == 0]
+    assert len(pieces) == 2
+    passed = np.concatenate([e[where] >= 2 for e, (_, _, where) in zip(sketch.estimates(pieces), parts, strict=True)])
     of_single = np.r_[passed[: n // 2], passed[n // 2 + 1000 : -1000]]
     assert of_single.mean() < 0.05 and passed[n // 2 : n // 2 + 1000].all() and passed[-1000:].all()
 
 
+def test_shards_fill_evenly():
+    """Also with hashes that were picked for being small, as those of anchors are."""
+    sketch = blocks.Sketch(40_000_000)
+    v, n, _ = sketch.entries(np.random.default_rng(6).integers(0, 2**58, 200_000, dtype=np.uint64))
+    sizes = [len(sketch._read(piece)[0]) for _, piece in sketch.pieces(v, n)]
+    assert len(sizes) == sketch.shards and max(sizes) < 1.1 * min(sizes)
+
+
 def brute_components(docs):
     fp = {}
     for d, t in docs:
@@ -238,6 +248,48 @@ def test_long_posting_lists_lose_no_link(bits):
     x, y = np.nonzero(np.triu(near, 1))
     want = simhash.forest(fps[x], fps[y])
     assert (np.array(want) == np.array([a, b])).all()
+    nodes = rnd.integers(0, 2**63, dtype=np.uint64) ^ rnd.integers(0, 2**20, len(fps), dtype=np.uint64)  # of which some differ in too many bits
+    a, b = simhash.links(simhash.postings(fps).ravel(), np.repeat(fps, len(simhash.CHOICES)), np.repeat(nodes, len(simhash.CHOICES)), 4, 9)
+    x, y = np.nonzero(np.triu(near & (np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= 9), 1))
+    assert (np.array(simhash.forest(nodes[x], nodes[y])) == np.array([a, b])).all()
+
+
+def test_near_copies(spark):
+    """Groups by brute force over all pairs, and copies of which one word in forty is changed."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    docs = [*texts_of(7)]
+    for k in range(30):
+        words = [word() for _ in range(240)]
+        docs.append((1000 + 10 * k, " ".join(words)))
+        for c in range(1, 3):
+            for at in range(c, 240, 60):
+                words[at] = word()
+            docs.append((1000 + 10 * k + c, " ".join(words)))
+    docs += [(3000, docs[-1][1].upper()), (None, docs[-2][1])]
+    raw = [(t or "").encode() for _, t in docs]
+    prints, check = simhash.word_prints(raw, 5), simhash.fingerprint_many(raw, 5)
+    near = np.logical_or.reduce([np.bitwise_count(p[:, None] ^ p[None, :]) <= 4 for p in prints]) & (np.bitwise_count(check[:, None] ^ check[None, :]) <= 12) | (check[:, None] == check[None, :])
+    root = list(range(len(docs)))
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    groups: dict[int, set] = {}
+    for k, (d, _) in enumerate(docs):
+        groups.setdefault(find(k), set()).add(d)
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got: dict[int, set] = {}
+    for r in simhash.near_copies(df).collect():
+        got.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(str, map(sorted, (map(str, g) for g in got.values())))) == sorted(map(str, map(sorted, (map(str, g) for g in groups.values()))))
+    kept = {r["doc_id"] for r in simhash.one_of_each(df, groups=simhash.near_copies).collect()}
+    assert kept == {min(g, key=lambda d: (d is None, d or 0)) for g in groups.values()}
+    assert sum(1000 + 10 * k + c in kept for k in range(30) for c in (1, 2)) < 6 and all(1000 + 10 * k in kept for k in range(30))
 
 
 def test_simhash_cases(spark):
