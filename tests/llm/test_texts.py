@@ -33,6 +33,15 @@ def test_bpe_equals_the_library(spark):
     assert rank_bpe.encode_decode(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
+def test_code_points_of_other_unicode_tables_split_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(tokenizer_path()), rank_bpe.Coder(rank_bpe.Vocabulary(tokenizer_path()))
+    edges = [int(x, 16) for r in rank_bpe.NEWER.split() for x in r.split("-")]
+    texts = [f"a{chr(p)}1 {chr(p)} {chr(p)}b" for p in sorted({q for e in edges for q in (e - 1, e, e + 1)})]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_long_words_take_the_same_merges():
     c = rank_bpe.Coder(rank_bpe.Vocabulary(tokenizer_path()))
     rnd = random.Random(2)
@@ -94,6 +103,18 @@ def test_code_lengths_are_those_of_ppm():
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_predictions_are_the_shortest_codes(spark):
+    """Every prediction, score and rate against the code lengths of all languages."""
+    rows = [(100 * k + i, prose(lang, 5 + i, 100 * k + i), lang) for k, lang in enumerate(WORDS) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    model = ppm_langid.train(df)
+    for r in ppm_langid.predict(df, model).collect():
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        bits = model.code_lengths(raw, np.array([0, len(raw)]))[0]
+        assert r["language"]["lang_pred"] == model.languages[int(bits.argmin())]
+        assert r["language"]["score"] == pytest.approx(1 / np.exp2(bits.min() - bits).sum()) and r["language"]["bits_per_byte"] == pytest.approx(bits.min() / len(raw))
+
+
 def labelled(n: int, seed: int) -> tuple[list[str], list[int]]:
     rnd = random.Random(seed)
     texts, labels = [], []
@@ -156,6 +177,9 @@ def test_toxicity_cases(spark):
     got = toxicity.score(docs.withColumn("score", F.lit("replaced")), model).collect()
     assert len(got) == 65 and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (100, 101, 102)}) == 1
+    for r in got:  # by definition: the bias and the weights of all different features of the text
+        found = {f for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for f in ["=" + w, *(x for k in (3, 4, 6) if len(w) > k for x in ("<" + w[:k], ">" + w[-k:]))]}
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in found))))
     assert toxicity.fit([], []).bias < -20 and toxicity.fit(["a"], [1]).weights == {}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
