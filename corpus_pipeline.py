@@ -36,12 +36,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component, that of the smallest doc_id.
+    """Keeps one document of each group of copies, that of the smallest doc_id.
 
-    Null, empty and blank texts are near each other; a null doc_id counts as larger than any other;
-    of rows that share the id one stays, the first by a hash of its text and then of its other columns.
+    Copies are those that SimHash fingerprints of their different words bring together and those of
+    their shingles of five words confirm, at a similarity of 0.8 of the bits. Null, empty and blank
+    texts are copies of each other; a null doc_id counts as larger than any other; of rows that share
+    the id one stays, the first by a hash of its columns.
     """
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, groups=simhash.near_copies)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
