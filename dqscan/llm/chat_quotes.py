@@ -12,7 +12,7 @@ order: each message behind the one it answers, answers to the same message by tu
 
 Edge cases: null texts are empty messages; a null role reads `unknown`; rows without conversation or
 turn can't be ordered and are left out; repeated rows of a conversation and turn are kept and
-ordered by their text; quotes that nothing matches are removed and counted as unlinked; messages of
+ordered by role and a hash of their text; quotes that nothing matches are removed and counted as unlinked; messages of
 any length are read whole; an empty table gives an empty one; other columns aren't read and may have
 any names. In conversations that hold quotes the work on a message grows with its lines times the
 number of different quote lengths asked for.
@@ -75,10 +75,9 @@ def level_of(line: Column) -> Column:
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, turn, role, n (order of repeated turns), said (text without quotes), quotes: [(level, passage)]."""
+    """id (of the row, once the table is written), conv, turn, role, h (hash of the text), said (text without quotes), quotes: [(level, passage)]."""
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.where("conv is not null and turn is not null")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "text")))
+    rows = rows.where("conv is not null and turn is not null").withColumn("h", F.md5("text")).withColumn("id", F.monotonically_increasing_id())
     lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.struct(level_of(x).alias("level"), F.regexp_replace(x, r"^(?:[ \t]*>)+[ \t]?", "").alias("line")))
     rows = rows.withColumn("lines", F.when(F.col("text").rlike(r"(?m)" + MARK), lines))
     said = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
@@ -88,15 +87,15 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     passage = lambda at, k: F.struct(F.get("lines", at)["level"].alias("level"), F.array_join(F.transform(F.slice("lines", at + 1, F.coalesce(F.get("opens", k + 1), F.size("lines")) - at), lambda x: x["line"]), "\n").alias("passage"))
     quotes = F.filter(F.transform("opens", passage), lambda x: x["level"] > 0)
     none = F.array().cast("array<struct<level:int,passage:string>>")
-    return rows.select("conv", "turn", "n", "role", F.trim(F.when(F.col("lines").isNull(), F.col("text")).otherwise(said)).alias("said"), F.coalesce(quotes, none).alias("quotes"))
+    return rows.select("id", "conv", "turn", "role", "h", F.trim(F.when(F.col("lines").isNull(), F.col("text")).otherwise(said)).alias("said"), F.coalesce(quotes, none).alias("quotes"))
 
 
 def conversations(messages: DataFrame, **columns: str) -> DataFrame:
-    """One row a message: conv_id, turn, role, said, reply_to (turn or null), n_quotes, n_linked, reply_path, reply_order."""
-    rows = parsed(messages, **columns)
+    """One row a message: conv_id, turn, role, said, reply_to (turn or null), n_quotes, n_linked, reply_order."""
     on_workers(messages.sparkSession)
-    quoting = rows.where(F.size("quotes") > 0).select("conv", "turn", "n", F.posexplode("quotes").alias("at", "q")).select("conv", "turn", "n", "at", F.col("q.level").alias("level"), F.explode(pieces_of(F.col("q.passage"))).alias("p"))
-    quoting = quoting.select("conv", "turn", "n", "at", "level", "p.grain", n_words(F.col("p.text")).alias("words"), key_of(F.col("p.text")).alias("key")).where("key is not null")
+    rows = spool(parsed(messages, **columns), "messages")
+    quoting = rows.where(F.size("quotes") > 0).select("conv", "turn", "id", F.posexplode("quotes").alias("at", "q")).select("conv", "turn", "id", "at", F.col("q.level").alias("level"), F.explode(pieces_of(F.col("q.passage"))).alias("p"))
+    quoting = quoting.select("conv", "turn", "id", "at", "level", "p.grain", n_words(F.col("p.text")).alias("words"), key_of(F.col("p.text")).alias("key")).where("key is not null")
     asked = quoting.groupBy("conv").agg(F.collect_set("words").alias("lengths"))
     # Sources and quotes of a key lie in one order, so that a line said and quoted often makes no pairs.
     sources = runs_of(rows.join(asked, "conv")).withColumn("turn", F.col("source"))
@@ -105,25 +104,25 @@ def conversations(messages: DataFrame, **columns: str) -> DataFrame:
         quoting.unionByName(sources, allowMissingColumns=True)
         .withColumn("found", earlier)
         .where("at is not null and found is not null")
-        .groupBy("conv", "turn", "n", "at", "level")
+        .groupBy("id", "at", "level")
         .agg(F.max(F.struct(-F.col("grain"), "words", "found")).alias("best"))
-        .select("conv", "turn", "n", "at", "level", F.col("best.found").alias("source"))
-        .groupBy("conv", "turn", "n")
+        .select("id", "at", "level", F.col("best.found").alias("source"))
+        .groupBy("id")
         .agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("source")).alias("late"), "at")).alias("best"))
-        .select("conv", "turn", "n", "n_linked", (-F.col("best.late")).alias("quoted"))
+        .select("id", "n_linked", (-F.col("best.late")).alias("quoted"))
     )
-    before = F.max("turn").over(Window.partitionBy("conv").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", before).join(linked, ["conv", "turn", "n"], "left")
-    rows = rows.withColumn("reply_to", F.coalesce("quoted", "before"))
+    # From here on numbers alone travel, until the texts are joined to them.
+    own = Window.partitionBy("conv").orderBy("turn")
+    before = F.max("turn").over(own.rangeBetween(Window.unboundedPreceding, -1))
+    slim = rows.select("id", "conv", "turn", "role", "h").join(linked, "id", "left").withColumn("before", before)
+    slim = spool(slim.withColumn("reply_to", F.coalesce("quoted", "before")), "replies")
     # Only conversations in which a message answers another one than that before it leave the order of turns.
-    tree = rows.groupBy("conv", "turn").agg(F.min(F.coalesce("reply_to", F.lit(NONE))).alias("to"), F.max(F.coalesce("before", F.lit(NONE))).alias("before"))
+    tree = slim.groupBy("conv", "turn").agg(F.min(F.coalesce("reply_to", F.lit(NONE))).alias("to"), F.max(F.coalesce("before", F.lit(NONE))).alias("before"))
     turned = tree.where("to <> before").select("conv").distinct()
     ranks = reply_ranks(spool(tree.join(turned, "conv", "left_semi").select("conv", "turn", "to"), "tree"))
-    rows = rows.join(ranks, ["conv", "turn"], "left")
-    order = Window.partitionBy("conv").orderBy(F.coalesce("rank", F.lit(0)), "turn", "n")
-    return rows.select(
-        F.col("conv").alias("conv_id"), "turn", "role", "said", "reply_to", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.row_number().over(order).alias("reply_order")
-    )
+    order = Window.partitionBy("conv").orderBy(F.coalesce("rank", F.lit(0)), "turn", "role", "h")
+    slim = slim.join(ranks, ["conv", "turn"], "left").select("id", "reply_to", "n_linked", F.row_number().over(order).alias("reply_order"))
+    return rows.join(slim, "id").select(F.col("conv").alias("conv_id"), "turn", "role", "said", "reply_to", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_order")
 
 
 def _walk(turns: list[int], to: list[int]) -> list[int]:
@@ -205,7 +204,7 @@ def oracle() -> str:
     return rf"""
 WITH RECURSIVE m AS (
   SELECT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER () AS id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, 'unknown'), coalesce(text, '')) AS n,
+         row_number() OVER () AS id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, 'unknown'), md5(coalesce(text, ''))) AS n,
          max(turn::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), cut AS (
