@@ -11,6 +11,7 @@ from pathlib import Path
 from xml.sax.saxutils import escape as xml
 
 from dqscan import __version__
+from dqscan.operators.schema import expected
 
 ORDER = {"High": 0, "Medium": 1, "Low": 2}
 COLOURS = {"High": "#c0392b", "Medium": "#d68910", "Low": "#2e86c1"}
@@ -32,7 +33,7 @@ def rows_of(results: dict) -> list[dict]:
         for part in ("phantom_duplicates", "fuzzy_duplicates"):
             for d in s.get(part, []):
                 text = f"{d['group_size']} rows: {', '.join(map(str, d['rows'][:5]))}" + differing(d)
-                out.append({"sheet": sheet, "field": "(row-level)", "type": d["type"], "kind": d["type"], "severity": d["severity"], "text": text, "why": d.get("why", ""), "fix": d.get("fix") or {}, "inferred": "", "profile": {}})
+                out.append({"sheet": sheet, "field": "(row-level)", "type": d["type"], "kind": d["type"], "severity": d["severity"], "text": text, "why": d.get("why", ""), "fix": d.get("fix") or {}, "inferred": "", "profile": {}, "sample": d.get("sample_data") or []})
         for v in s.get("schema_violations", []):
             out.append({"sheet": sheet, "field": v["column"], "type": v["type"], "kind": v["type"], "severity": v["severity"], "text": json.dumps(v["detail"]), "why": v.get("why", ""), "fix": {}, "inferred": "", "profile": {}})
     return out
@@ -55,6 +56,23 @@ def counts_of(results: dict) -> dict[str, int]:
     return {s: every.get(s, 0) for s in ORDER}
 
 
+def trend_rows(results: dict) -> list[list]:
+    """Sheet, status, score and issues before and now, for every sheet of either run."""
+    return [[n, t["status"], t.get("previous_score", ""), t.get("current_score", ""), t.get("previous_issues", ""), t.get("current_issues", "")] for n, t in results.get("trend", {}).get("sheets", {}).items()]
+
+
+def expected_rows(results: dict) -> list[list]:
+    """Sheet, column, expected type, type found and whether it may be missing, for all columns of the schema."""
+    out = []
+    if schema := results.get("schema"):
+        for name, sheet in results["sheets"].items():
+            for column, spec in expected(schema, name).items():
+                have = sheet["fields"].get(column)
+                broken = [v["type"] for v in sheet["schema_violations"] if v["column"] == column]
+                out.append([name, column, spec.get("type", ""), have["inferred_type"] if have else "(missing)", "required" if spec.get("required") else "", ", ".join(broken) or "met"])
+    return out
+
+
 def full_tables(results: dict) -> list[list[str]]:
     """Sheet, kind and path of the tables that hold what the lists may leave out."""
     return [[n, kind, at] for n, s in results["sheets"].items() for kind, at in s.get("full_tables", {}).items()]
@@ -81,6 +99,11 @@ def generate_html(results: dict, path: str) -> str:
     parts.extend(f"<p>{e(n)}: all {e(kind)} in {e(at)}</p>" for n, kind, at in full_tables(results))
     if t := results.get("trend"):
         parts.append(f"<p class='trend'>Score {t['previous_score']} to {t['current_score']} ({t['score_delta']:+}), issues {t['previous_issues']} to {t['current_issues']} ({t['issues_delta']:+})</p>")
+    table = lambda head, body: "<table><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{e(x)}</td>" for x in r) + "</tr>" for r in body) + "</table>"
+    if found := trend_rows(results):
+        parts.append("<h2>Trend</h2>" + table(TREND_HEAD, found))
+    if found := expected_rows(results):
+        parts.append("<h2>Schema</h2>" + table(SCHEMA_HEAD, found))
     parts.append("<nav><ul>" + "".join(f"<li><a href='#s{k}'>{e(n)}</a></li>" for k, n in enumerate(results["sheets"])) + "</ul></nav>")
     for k, (name, s) in enumerate(results["sheets"].items()):
         parts.append(f"<details open id='s{k}'><summary><b>{e(name)}</b> {s['row_count']} rows, {s['col_count']} columns, score {s['health_score']}</summary>")
@@ -98,11 +121,15 @@ def generate_html(results: dict, path: str) -> str:
 
 def _card(r: dict, e) -> str:
     fix = f"<p>{e(r['fix']['description'])}</p><button onclick='copy(this)'>Copy</button><pre>{e(r['fix']['code'])}</pre>" if r["fix"] else ""
+    if sample := r.get("sample"):
+        fix = "<table><tr>" + "".join(f"<th>{e(c)}</th>" for c in sample[0]) + "</tr>" + "".join("<tr>" + "".join(f"<td>{e('' if x is None else x)}</td>" for x in row.values()) + "</tr>" for row in sample) + "</table>" + fix
     return f"<div class='card' data-s='{r['severity']}'><span class='tag {r['severity']}'>{r['severity']}</span> <b>{e(r['type'])}</b> {e(r['text'])}<br><small>{e(r['why'])}</small>{fix}</div>"
 
 
 # ---------------------------------------------------------------- XLSX
 
+SCHEMA_HEAD = ("Sheet", "Column", "Expected", "Found", "Required", "State")
+TREND_HEAD = ("Sheet", "Status", "Score before", "Score now", "Issues before", "Issues now")
 HEADERS = ("Sheet", "Field", "Inferred Type", "Issue Type", "Severity", "Description", "Why It Matters", "Fix Strategy", "Fix Code", "Cardinality", "Uniqueness %")
 
 
@@ -151,7 +178,12 @@ def generate_excel(results: dict, path: str) -> str:
     if t := results.get("trend"):
         summary += [["Previous score", t["previous_score"]], ["Score change", t["score_delta"]], ["Issue change", t["issues_delta"]]]
     found = [[r["sheet"], r["field"], r["inferred"], r["type"], r["severity"], r["text"], r["why"], r["fix"].get("strategy", ""), r["fix"].get("code", ""), r["profile"].get("cardinality", ""), r["profile"].get("uniqueness_pct", "")] for r in rows]
-    return write_xlsx(path, {"Summary": summary, "Findings": [list(HEADERS), *found]})
+    sheets = {"Summary": summary, "Findings": [list(HEADERS), *found]}
+    groups = [[r["sheet"], r["type"], r["severity"], r["text"], *(f"{c}: {x}" for c, x in row.items())] for r in rows for row in r.get("sample", [])]
+    for name, head, body in (("Duplicates", ["Sheet", "Kind", "Severity", "Rows", "Sample"], groups), ("Schema", SCHEMA_HEAD, expected_rows(results)), ("Trend", TREND_HEAD, trend_rows(results))):
+        if body:
+            sheets[name] = [list(head), *body]
+    return write_xlsx(path, sheets)
 
 
 # ---------------------------------------------------------------- PDF
@@ -161,11 +193,15 @@ def generate_pdf(results: dict, path: str) -> str:
     """A plain document, a page or more a sheet; columns without issues are left out."""
     rows = rows_of(results)
     pages: list[list[str]] = [[f"Data quality: {results['input_file']}", results["audit_timestamp"], f"Score {results['overall_score']} ({status(results['overall_score'])})", "", *[f"{s}: {n}" for s, n in counts_of(results).items()]]]
+    for head, body in ((SCHEMA_HEAD, expected_rows(results)), (TREND_HEAD, trend_rows(results))):
+        lines = [" | ".join(head), "", *(" | ".join(map(str, r))[:100] for r in body)]
+        pages += [lines[i : i + 52] for i in range(0, len(lines), 52)] if body else []
     for name, s in results["sheets"].items():
         lines = [f"{name}: {s['row_count']} rows, {s['col_count']} columns, score {s['health_score']}", ""]
         for r in (r for r in rows if r["sheet"] == name):
             lines.append(f"[{r['severity']}] {r['field']}: {r['type']}")
             lines += ["    " + r["text"][i : i + 90] for i in range(0, min(len(r["text"]), 360), 90)]
+            lines += ["      " + " | ".join("" if x is None else str(x) for x in row.values())[:90] for row in r.get("sample", [])]
         pages += [lines[i : i + 52] for i in range(0, len(lines), 52)]
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", "", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     kids = []

@@ -95,6 +95,23 @@ def test_reports(results, tmp_path):
     assert lines.startswith("File,Sheet,Field") and "drop_exact_duplicates" in lines
 
 
+def test_reports_show_samples_schema_and_trend(spark, messy, tmp_path):
+    spec, then = tmp_path / "s.json", tmp_path / "b.json"
+    spec.write_text(json.dumps({"columns": {"Name": {"type": "name"}, "Region": {"type": "name", "required": True}}}))
+    then.write_text(json.dumps({"overall_score": 90, "sheets": {"messy": {"health_score": 90, "fields": {}}, "gone": {"health_score": 1, "fields": {}}}}))
+    r = run_audit(spark, str(messy / "messy.csv"), schema_path=str(spec), baseline_path=str(then))
+    assert reports.expected_rows(r) == [["messy", "Name", "name", "name", "", "met"], ["messy", "Region", "name", "(missing)", "required", "schema_missing_column"]]
+    assert [x[:3] for x in reports.trend_rows(r)] == [["gone", "removed", ""], ["messy", "compared", 90]]
+    html = open(reports.generate_html(r, str(tmp_path / "r.html"))).read()
+    assert all(x in html for x in ("<h2>Trend</h2>", "<h2>Schema</h2>", "<td>ann lee </td>", "schema_missing_column"))
+    with zipfile.ZipFile(reports.generate_excel(r, str(tmp_path / "r.xlsx"))) as z:
+        book = z.read("xl/workbook.xml").decode()
+        for n in z.namelist():
+            xml.dom.minidom.parseString(z.read(n))
+    assert all(f'name="{x}"' in book for x in ("Summary", "Findings", "Duplicates", "Schema", "Trend"))
+    assert b"schema_missing_column" in open(reports.generate_pdf(r, str(tmp_path / "r.pdf")), "rb").read()
+
+
 def test_command_line(spark, messy, tmp_path):
     paths = ["--sarif", str(tmp_path / "audit_results.sarif"), "--export-fixes", str(tmp_path / "remediation_plan.csv"), "--generate-schema", str(tmp_path / "generated_schema.json")]
     args = ["-i", str(messy / "messy.csv"), "-o", str(tmp_path), "--json", *paths, "-q"]
