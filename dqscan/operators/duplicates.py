@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqscan.functions import text as X
 from dqscan.operators.columns import ROW, frequencies
+from dqscan.operators.graph import components
 from dqscan.plans.spool import spool
 
 
@@ -126,22 +129,50 @@ def field_differences(df: DataFrame, member: DataFrame, content: list[str], stri
     return listed.withColumn("similarity", F.when(longer == 0, 1.0).otherwise(F.round(1 - F.levenshtein(one, two) / longer, 2)))
 
 
-def seed_groups(pairs: DataFrame) -> DataFrame:
+def seed_groups(pairs: DataFrame, most: int = 20_000_000) -> DataFrame:
     """(seed, row_idx): the groups that a walk over ascending rows forms, where each row not yet
     taken takes all later free rows that are close to it.
 
-    A row is a seed just when no smaller neighbour is one, so that every round settles all rows
-    whose smaller neighbours are settled; edges live in the shared folder between rounds.
+    Rows of different connected components don't meet, so that the walk runs over the components
+    side by side, along their ordered pairs; a task holds the rows taken of one component. Those of
+    over `most` pairs are settled in rounds over the edge table instead.
     """
-    links = spool(pairs.select("a", "b"))
+    links = spool(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "pairs")
+    parted = spool(links.join(components(links, "a", "b"), links.a == F.col("node")).select("root", "a", "b"), "parted")
+    large = parted.groupBy("root").count().where(F.col("count") > most).select("root")
+    large = spool(large, "large")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, taken, seed, free = None, set(), None, False
+        for batch in batches:
+            out_seed, out_row = [], []
+            for root, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != own:
+                    own, taken, seed = root, set(), None
+                if a != seed:
+                    seed, free = a, a not in taken
+                if free and b not in taken:
+                    taken.add(b)
+                    out_seed.append(a)
+                    out_row.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_seed, pa.int64()), pa.array(out_row, pa.int64())], names=["seed", ROW])
+
+    ordered = parted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root", "a", "b")
+    walked = ordered.mapInArrow(walk, f"seed long, {ROW} long")
+    if not large.limit(1).count():
+        return walked
+    return walked.unionByName(_in_rounds(spool(parted.join(large, "root", "left_semi").select("a", "b"), "rounds")))
+
+
+def _in_rounds(links: DataFrame) -> DataFrame:
+    """The same over the edge table. A row is a seed just when no smaller neighbour is one, so that
+    every round settles all rows whose smaller neighbours are settled."""
     edges, seeds = links, []
     while edges.limit(1).count():
         waiting = edges.select(F.col("b").alias("a")).distinct()
-        free = spool(edges.select("a").distinct().join(waiting, "a", "left_anti"))  # no smaller neighbour is left
+        free = spool(edges.select("a").distinct().join(waiting, "a", "left_anti"), "free")  # no smaller neighbour is left
         seeds.append(free)
         gone = edges.join(free, "a").select(F.col("b").alias("x")).distinct()
         edges = edges.join(free, "a", "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
-        edges = spool(edges)
-    if not seeds:
-        return links.select(F.col("a").alias("seed"), F.col("b").alias(ROW)).where("false")
+        edges = spool(edges, "rest")
     return links.join(reduce(DataFrame.unionByName, seeds), "a").groupBy(F.col("b").alias(ROW)).agg(F.min("a").alias("seed")).select("seed", ROW)
