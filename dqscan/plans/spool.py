@@ -21,12 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._dqscan_folder
 
 
-def passing(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_folder(spark)}/dqscan-{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/dqscan-{name}-{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Has a written table deleted when the driver ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
 
 
 def keep(df: DataFrame, name: str, folder: str | None = None) -> str:
@@ -38,6 +40,7 @@ def keep(df: DataFrame, name: str, folder: str | None = None) -> str:
 
 def spool(df: DataFrame, name: str = "spool") -> DataFrame:
     """Writes df and reads it back: lineage ends there, and lost executors cost nothing. The table goes when the driver ends."""
-    path = passing(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,6 +114,21 @@ def test_misuse(spark):
     assert got == {("name", "Code/ID", 0), ("name", "Code/ID", 2), ("name", "Numeric", 1), ("amount", "Text", 0), ("email", "Invalid", 2)}
 
 
+def test_spooled_tables_go_with_the_driver(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession; from dqscan.plans.spool import keep, spool\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+        f"d = s.range(5); assert spool(d).count() == 5; keep(d, 'kept'); import os; print(*os.listdir('{tmp_path}'))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+    own = lambda names: sorted(n.split("-")[0] for n in names if n.startswith(("dqscan", "kept")))
+    assert own(done.stdout.split()) == ["dqscan", "kept"] and own(p.name for p in tmp_path.iterdir()) == ["kept"]
+
+
 def test_row_numbers_follow_the_partitions(spark):
     df = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "x")
     assert [(r[0], r[1]) for r in C.with_row_idx(df).orderBy("x").collect()] == [(i, i) for i in range(1000)]
