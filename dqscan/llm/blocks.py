@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, on_workers, passing, small_batches
+from .common import mixed, new_path, on_workers, passing, small_batches
 
 #: Bytes of text a block holds, unless a single row has more.
 BLOCK = 2 << 20
@@ -60,7 +60,8 @@ def packed(rows: DataFrame, text: str, size: int, name: str, limit: int = BLOCK)
     spark = rows.sparkSession
     on_workers(spark)
     small_batches(spark)
-    buckets = int(min(max(12, size // (16 << 20)), 10_000))
+    # Fewer buckets than shuffle partitions, and joins would deal the blocks out anew.
+    buckets = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20)), 100_000))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _numbers(TaskContext.get().partitionId(), buckets)
@@ -91,7 +92,9 @@ def packed(rows: DataFrame, text: str, size: int, name: str, limit: int = BLOCK)
 
     at = f"dqscan_{name}_{uuid.uuid4().hex}"
     made = rows.mapInArrow(pack, "block long, data binary")
-    made.write.bucketBy(buckets, "block").option("path", passing(spark, name)).option("compression", "uncompressed").format("parquet").saveAsTable(at)
+    path = new_path(spark, name)
+    made.write.bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(at)
+    passing(spark, path)
     table = spark.table(at)
     spark.sql(f"DROP TABLE {at}")  # the name alone; the files stay
     return table

@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: table access, byte hashing, components."""
+"""Helpers shared by the corpus operators: table access, bytes of texts, hashing."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqscan.plans.spool import passing, spool
+from dqscan.operators.graph import components
+from dqscan.plans.spool import new_path, passing, spool
 
-__all__ = ["components", "ids_of", "mixed", "on_workers", "passing", "pieces", "prefix_hash", "schema_of", "small_batches", "span_hash", "spool", "table", "text_bytes"]
+__all__ = ["components", "ids_of", "mixed", "new_path", "on_workers", "passing", "pieces", "prefix_hash", "schema_of", "small_batches", "span_hash", "spool", "table", "text_bytes"]
 
 #: Stands for a null doc_id wherever ids travel as plain 64-bit integers; it sorts first, as nulls do.
 NULL_ID = -(2**63)
@@ -138,34 +138,3 @@ def span_hash(pre: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.n
     """Hash of values[starts:ends] for every pair, the same wherever the span lies."""
     sums, down = pre
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for all nodes of `edges`; root is the least node that can be reached.
-
-    Alternating large-star and small-star rounds. Each round is two aggregations and two joins,
-    written to the shared folder; rounds grow with the logarithm of the longest path.
-    """
-    x, y = F.col(a), F.col(b)
-    now = spool(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        new = spool(small, "edges")
-        sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for d in (now, new)]
-        now = new
-        if sums[0] == sums[1]:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -176,6 +176,19 @@ def test_few_single_entries_pass_the_sketch(expected):
     assert of_single.mean() < 0.05 and passed[n // 2 : n // 2 + 1000].all() and passed[-1000:].all()
 
 
+def test_blocks_stay_where_they_are(spark):
+    """What is found out about a block joins it without an exchange of the blocks; they hold all rows, a task's in one bucket."""
+    rows = spark.range(5000).selectExpr("id", "repeat('text ', cast(id % 300 as int)) as text").repartition(5)
+    table = blocks.packed(rows, "text", 3_000_000, "test", limit=100_000)
+    assert sum(blocks.opened(r["data"]).num_rows for r in table.collect()) == 5000
+    assert table.select("block").distinct().count() == table.count() > 20
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert table.selectExpr("block >> 40 as task", f"pmod(hash(block), {n}) as bucket").distinct().count() == 5
+    answers = table.selectExpr("block", "1 as kind", "2 as shard", "cast('x' as binary) as answer")
+    plan = blocks.with_answers(table, spark.createDataFrame(answers.collect(), answers.schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_shards_fill_evenly():
     """Also with hashes that were picked for being small, as those of anchors are."""
     sketch = blocks.Sketch(40_000_000)
