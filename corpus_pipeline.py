@@ -53,11 +53,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id comes first; other columns, of whatever name, stay as they are.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in others]).alias("others"))
-    cut = suffix_dedup.remove_repeats(rows, carry=("others", "text")).where("n_removed = 0 or length(kept_text) > 0")
-    changed = F.col("n_removed") > 0
-    values = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
-    values |= {c: F.when(changed, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(F.col("others")[c]) if c == "n_chars" else F.col("others")[c] for c in others}
+    carried = F.struct(F.col("text").isNull().alias("0"), *[F.col(f"`{c}`") for c in others]).alias("others")
+    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", carried), carry=("others",)).where("n_removed = 0 or length(kept_text) > 0")
+    values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("others")["0"], F.col("kept_text"))}
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text"))
+    values |= {c: F.coalesce(length.cast(docs.schema[c].dataType), F.col("others")[c]) if c == "n_chars" else F.col("others")[c] for c in others}
     return cut.select(*[values[c].alias(c) for c in docs.columns])
 
 
