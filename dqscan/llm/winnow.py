@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-A text's units are its words, long ones cut every `UNIT` characters. The hash of the k-gram that ends
-at each unit is taken (the first k - 1 of them are shorter); of every window of w hashes the least is
+A text's units are its words, long ones cut every `UNIT` characters. A unit's hash is 31 bits of its MD5;
+that of the k-gram that ends at each unit is a polynomial of theirs modulo a prime (the first k - 1
+grams are shorter); of every window of w hashes the least is
 kept, the rightmost on ties, with its place, that of the gram's last unit. One scheme serves all
 lengths, so that any run of w + k - 1 units that two texts share leaves a common entry in both; texts
 of fewer than w units keep the least of what they have.
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 GRAM = 3
 WINDOW = 4
 UNIT = 16
+UNITS = rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"
 LOW = (1 << 32) - 1
+PRIME, BASE = (1 << 31) - 1, 1103515245
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -32,15 +35,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     h, v = (f"__{out}_{x}" for x in "hv")
     names = df.columns
-    units = F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
-    step = df.select(*names, F.transform(units, lambda u: F.xxhash64(u)).alias(h))
+    units = F.regexp_extract_all(F.col(text), F.lit(UNITS), F.lit(0))
+    step = df.select(*names, F.transform(units, lambda u: F.shiftright(F.conv(F.substring(F.md5(u), 1, 8), 16, 10).cast("bigint"), 1)).alias(h))
     none = F.array().cast("array<bigint>")
 
     def gram(i: Column) -> Column:
-        """Hash of the gram that ends at unit i; units before the first one are null, which a hash leaves out."""
-        return F.xxhash64(*[F.get(F.col(h), i - j) for j in range(GRAM - 1, -1, -1)])
+        """Hash of the gram that ends at unit i; units before the first one count as 0."""
+        out = F.lit(0).cast("bigint")
+        for j in range(GRAM - 1, -1, -1):
+            out = (out * BASE + F.coalesce(F.get(F.col(h), i - j), F.lit(0))) % PRIME
+        return out
 
-    ranked = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), 33), 32).bitwiseOR(F.lit(LOW) - i))
+    ranked = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.shiftleft(gram(i), 32).bitwiseOR(F.lit(LOW) - i))
     step = step.select(*names, F.when(F.size(h) > 0, ranked).otherwise(none).alias(v))
     least = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - WINDOW), lambda i: F.least(*[F.get(F.col(v), i + j) for j in range(WINDOW)])))
     picked = F.when(F.size(v) >= WINDOW, least).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(none)
@@ -120,7 +126,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     )
     marked = with_fingerprint(rows, "text", "fp")
-    order = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), F.xxhash64("text"), "text")
+    order = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), "text")
     n = F.length("text")
     paired = marked.select(
         "id", "text", "fp", "guest", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")
@@ -138,3 +144,37 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         likeness(F.col("s"), F.col("se")).alias("near_edited"),
         likeness(F.col("s"), F.col("sn")).alias("near_next"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for `edited` over the table documents."""
+
+    def entries(text: str) -> str:
+        """[(hash, place)] of a text, by way of the same ranks."""
+        units = f"regexp_extract_all({text}, '{UNITS}')"
+        hashed = "list_transform(u, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT >> 1)"
+        gram = "0"
+        for j in range(GRAM - 1, -1, -1):
+            gram = f"(({gram}) * {BASE} + CASE WHEN i > {j} THEN h[i - {j}] ELSE 0 END) % {PRIME}"
+        ranks = f"list_transform(range(1, len(h) + 1), lambda i: (({gram})::BIGINT << 32) | ({LOW} - (i - 1)))"
+        least = f"list_transform(range(1, len(v) - {WINDOW - 2}), lambda i: list_min(v[i:i + {WINDOW - 1}]))"
+        return f"(SELECT list_transform(CASE WHEN len(v) >= {WINDOW} THEN list_distinct({least}) WHEN len(v) > 0 THEN [list_min(v)] ELSE [] END, lambda e: {{'p': {LOW} - (e & {LOW}), 'h': e >> 32}}) FROM (SELECT {ranks} AS v FROM (SELECT {hashed} AS h FROM (SELECT {units} AS u))))"
+
+    show = lambda e: f"array_to_string(list_transform(list_sort({e}), lambda x: format('{{:x}}', x.h) || '@' || x.p), ' ')"
+    hashes = lambda e: f"list_distinct(list_transform({e}, lambda x: x.h))"
+
+    def alike(a: str, b: str) -> str:
+        return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({hashes(a)}, {hashes(b)})) / (len({hashes(a)}) + len({hashes(b)})) END"
+
+    order = "ORDER BY doc_id NULLS FIRST, t"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), n AS (
+  SELECT *, coalesce(lead(t) OVER ({order}), first_value(t) OVER ({order})) AS after FROM d
+), e AS (
+  SELECT doc_id, t, after, t[1:length(t) - length(t) // 4] || after[1:length(t) // 4] AS edited FROM n
+), f AS (
+  SELECT doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256, {entries("t")} AS a, {entries("edited")} AS b, {entries("after")} AS c FROM e
+)
+SELECT doc_id, n_chars, edited_sha256, {show("a")} AS fingerprint, {show("b")} AS edited_fingerprint, {alike("a", "b")} AS near_edited, {alike("a", "c")} AS near_next FROM f"""

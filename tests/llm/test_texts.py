@@ -275,6 +275,14 @@ def test_quotes_equal_their_sql(spark, seed):
     assert sum(r[6] for r in got) > 40  # quotes that are linked
 
 
+def test_quotes_of_very_long_messages(spark):
+    lines = [f"line {k} says {k * 7919 % 1000} things" for k in range(2500)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "short"), (1, 2, "user", "> " + "\n> ".join(lines[700:1900]) + "\nanswer"), (1, 3, "user", "w " * 200_000)]
+    got = chat_quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [(r["reply_to"], r["n_linked"], r["reply_order"]) for r in got] == [(None, 0, 1), (0, 0, 2), (0, 1, 3), (2, 0, 4)]
+    assert got[2]["said"] == "answer"
+
+
 @pytest.mark.parametrize("most", [100_000, 5])
 def test_reply_order_of_long_conversations(spark, most):
     """Walked in a task, or by pointer doubling where a conversation has more than `most` messages."""
@@ -292,17 +300,19 @@ def test_reply_order_of_long_conversations(spark, most):
         assert [got[c, t] for t in order] == list(range(len(up)))
 
 
-def brute_fingerprint(spark, texts: list[str]) -> list[list[tuple[int, int]]]:
+def brute_fingerprint(texts: list[str]) -> list[list[tuple[int, int]]]:
     """(hash, place) entries by definition: grams ending at every unit, the rightmost least of every window."""
     units = [re.findall(r"[^\x20\x09-\x0D]{1,16}", t) for t in texts]
-    grams = sorted({tuple(u[max(0, i - winnow.GRAM + 1) : i + 1]) for u in units for i in range(len(u))})
-    rows = spark.createDataFrame([(list(g),) for g in grams] or [([],)], "g array<string>")
-    of_size = lambda n: F.xxhash64(*[F.xxhash64(F.get("g", F.lit(j))) for j in range(n)])
-    hashed = rows.select("g", F.when(F.size("g") == 1, of_size(1)).when(F.size("g") == 2, of_size(2)).otherwise(of_size(3)).alias("h")).collect()
-    of = {tuple(r["g"]): (r["h"] % 2**64) >> 33 for r in hashed}
+
+    def of(gram: list[str]) -> int:
+        out = 0
+        for u in gram:
+            out = (out * 1103515245 + (int(hashlib.md5(u.encode()).hexdigest()[:8], 16) >> 1)) % (2**31 - 1)
+        return out
+
     out = []
     for u in units:
-        h = [of[tuple(u[max(0, i - winnow.GRAM + 1) : i + 1])] for i in range(len(u))]
+        h = [of(u[max(0, i - winnow.GRAM + 1) : i + 1]) for i in range(len(u))]
         windows = [range(s, min(s + winnow.WINDOW, len(h))) for s in range(max(1, len(h) - winnow.WINDOW + 1))] if h else []
         out.append(sorted({max((p for p in w if h[p] == min(h[q] for q in w))) for w in windows}, key=int))
         out[-1] = [(h[p], p) for p in out[-1]]
@@ -321,7 +331,7 @@ def test_edited_texts(spark):
     for k, t in enumerate(texts):
         m = len(t) // 4
         edits.append(t[: len(t) - m] + texts[(k + 1) % len(texts)][:m])
-    prints, changed = brute_fingerprint(spark, texts), brute_fingerprint(spark, edits)
+    prints, changed = brute_fingerprint(texts), brute_fingerprint(edits)
     show = lambda p: " ".join(f"{h:x}@{place}" for h, place in p)
 
     def alike(a, b):
@@ -333,6 +343,12 @@ def test_edited_texts(spark):
         assert (r["n_chars"], r["edited_sha256"]) == (len(texts[k]), hashlib.sha256(edits[k].encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (show(prints[k]), show(changed[k]))
         assert r["near_edited"] == pytest.approx(alike(prints[k], changed[k])) and r["near_next"] == pytest.approx(alike(prints[k], after))
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([x for x in docs if x[0] != 504], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    again = winnow.edited(df.where("doc_id is null or doc_id <> 504")).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, con.sql(winnow.oracle()).fetchall()))
     assert got[500]["fingerprint"] == got[docs[4][0]]["fingerprint"] and got[501]["fingerprint"] == got[503]["fingerprint"] == ""
     assert np.mean([got[d]["near_edited"] for d, t in docs if t and len(t) > 200]) > 0.6
     assert winnow.edited(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -346,7 +362,7 @@ def test_texts_of_eleven_and_twelve_words_are_alike(spark):
     assert got[0]["near_next"] > 0.6 and got[0]["near_edited"] > 0.4
 
 
-def test_shared_runs_leave_a_common_entry(spark):
+def test_shared_runs_leave_a_common_entry():
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     n = winnow.GRAM + winnow.WINDOW - 1
@@ -354,7 +370,7 @@ def test_shared_runs_leave_a_common_entry(spark):
     for _ in range(60):
         run = [word() for _ in range(n)]
         pairs += [" ".join([word() for _ in range(rnd.randint(0, 30))] + run + [word() for _ in range(rnd.randint(0, 30))]) for _ in range(2)]
-    prints = [{h for h, _ in p} for p in brute_fingerprint(spark, pairs)]
+    prints = [{h for h, _ in p} for p in brute_fingerprint(pairs)]
     assert all(prints[k] & prints[k + 1] for k in range(0, len(prints), 2))
 
 
@@ -397,6 +413,23 @@ def test_short_items(spark, limit):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_overlaps_equal_their_sql(spark):
+    """Also at the end of a very long document, and where many places of a document hit many items."""
+    import duckdb
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 2)))
+    items = [(i, " ".join(word() for _ in range(rnd.randint(12, 30)))) for i in range(12)] + [(50, "the same few words again and again " * 4), (51, "the same few words again and again " * 5)]
+    docs = [(i, " ".join(word() for _ in range(150)) + " " + " ".join(items[i % 12][1].split()[rnd.randint(0, 3) :])) for i in range(30)]
+    docs += [(100, "filler word " * 150_000 + items[0][1]), (101, "the same few words again and again " * 60), (102, None), (103, "")]
+    got = spaced_seeds.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = sorted(con.sql(spaced_seeds.oracle()).fetchall())
+    assert sorted(map(tuple, got.collect())) == want and {100, 101} <= {d for d, *_ in want}
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_items_of_a_null_id_count(spark, limit):
     text = " ".join(f"w{i}" for i in range(20))
