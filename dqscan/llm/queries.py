@@ -70,6 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     made = {
-        "op1_suffix_dedup": suffix_dedup, "op4_url_filter": url_filter, "op5_chat_quotes": chat_quotes, "op7_window_dedup": window_dedup, "op9_winnowing": winnow, "op10_decontaminate": spaced_seeds,
+        "op1_suffix_dedup": suffix_dedup, "op2_simhash": simhash, "op4_url_filter": url_filter, "op5_chat_quotes": chat_quotes, "op7_window_dedup": window_dedup, "op9_winnowing": winnow, "op10_decontaminate": spaced_seeds,
     }
     return {name: module.oracle() for name, module in made.items()}

@@ -336,3 +336,62 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups
     if found.groupBy("k", "row_hash").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["k", "row_hash"])
     return kept.select(*[F.col("row")[c].alias(c) for c in names])
+
+
+#: The primes of XXH64 (fixed values).
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64_sql(source: str, seed: int = SEED) -> str:
+    """CTEs that add the XXH64 of a column g of the CTE `source`, as `hashed` (g, h). Numbers are 128 bits wide and kept below 2**64."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    whole = f"{2**64}::UHUGEINT"
+    mul = lambda a, b: f"(({a}) * {b} % {whole})"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    rotl = lambda a, r: f"(({a}) * {2**r}::UHUGEINT % {whole} + ({a}) // {2 ** (64 - r)}::UHUGEINT)"
+    one = lambda a, lane: mul(rotl(f"(({a}) + {mul(lane, p2)}) % {whole}", 31), p1)
+    little = lambda at, n: "('0x' || " + " || ".join(f"substring(x, ({at}) * 2 + {2 * k + 1}, 2)" for k in range(n - 1, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    starts = (f"{(seed + PRIMES[0] + PRIMES[1]) % 2**64}", f"{(seed + PRIMES[1]) % 2**64}", f"{seed}", f"{(seed - PRIMES[0]) % 2**64}")
+    stripes = ", ".join(f"list_reduce(list_transform(range(0, n // 32), lambda k: l[4 * k + {j + 1}]), lambda a, lane: {one('a', 'lane')}, {v}::UHUGEINT) AS v{j}" for j, v in enumerate(starts))
+    gathered = f"({' + '.join(rotl(f'v{j}', r) for j, r in enumerate((1, 7, 12, 18)))}) % {whole}"
+    for j in range(4):
+        gathered = f"({mul(xor(gathered, one('0::UHUGEINT', f'v{j}')), p1)} + {p4}) % {whole}"
+    return f"""xa AS (SELECT g, hex(encode(g)) AS x, strlen(g) AS n FROM {source}),
+xb AS (SELECT *, list_transform(range(0, n // 8), lambda k: {little("8 * k", 8)}) AS l FROM xa),
+xc AS (SELECT *, {stripes} FROM xb),
+xd AS (SELECT *, ((CASE WHEN n >= 32 THEN {gathered} ELSE {seed + PRIMES[4]}::UHUGEINT END) + n::UHUGEINT) % {whole} AS h FROM xc),
+xe AS (SELECT g, x, n, list_reduce(l[4 * (n // 32) + 1:], lambda a, lane: ({mul(rotl(xor("a", one("0::UHUGEINT", "lane")), 27), p1)} + {p4}) % {whole}, h) AS h FROM xd),
+xf AS (SELECT g, x, n, CASE WHEN n % 8 >= 4 THEN ({mul(rotl(xor("h", mul(little("n // 8 * 8", 4), p1)), 23), p2)} + {p3}) % {whole} ELSE h END AS h FROM xe),
+xg AS (SELECT g, list_reduce(list_transform(range(n // 4 * 4, n), lambda k: {little("k", 1)}), lambda a, b: {mul(rotl(xor("a", mul("b", p5)), 11), p1)}, h) AS h FROM xf),
+xh AS (SELECT g, {mul(xor("h", f"h // {2**33}::UHUGEINT"), p2)} AS h FROM xg),
+xi AS (SELECT g, {mul(xor("h", f"h // {2**29}::UHUGEINT"), p3)} AS h FROM xh),
+hashed AS (SELECT g, {xor("h", f"h // {2**32}::UHUGEINT")} AS h FROM xi)"""
+
+
+def oracle(words_each: int = 4, max_bits: int = 4) -> str:
+    """DuckDB SQL for `near_duplicates` over the table documents, which compares all pairs of fingerprints."""
+    shingles = f"list_transform(range(1, len(w) - {words_each - 2}), lambda i: array_to_string(w[i:i + {words_each - 1}], ' '))"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {words_each} THEN [array_to_string(w, ' ')] ELSE {shingles} END) AS g FROM d
+), each AS (
+  SELECT r, g, count(*) AS times FROM s GROUP BY r, g
+), known AS (
+  SELECT DISTINCT g FROM s
+), {_xxh64_sql("known")}, bit AS (
+  SELECT r, k, sum(CASE WHEN h // b % 2 = 1 THEN times ELSE 0 END) * 2 > sum(times) AS is_set, b
+  FROM each JOIN hashed USING (g), (SELECT unnest(range(64)) AS k, unnest([{", ".join(f"{2**k}::UHUGEINT" for k in range(64))}]) AS b) GROUP BY r, k, b
+), f AS (
+  SELECT doc_id, coalesce(p, 0::UBIGINT) AS fp FROM d LEFT JOIN (SELECT r, bit_or(CASE WHEN is_set THEN b::UBIGINT ELSE 0::UBIGINT END) AS p FROM bit GROUP BY r) USING (r)
+), node AS (
+  SELECT fp, min(doc_id) AS least FROM f GROUP BY fp
+), near AS (
+  SELECT a.fp AS a, b.fp AS b FROM node a JOIN node b ON bit_count(xor(a.fp, b.fp)::BIT) <= {max_bits}
+), reached AS (
+  SELECT fp AS a, fp AS b FROM node UNION SELECT reached.a, near.b FROM reached JOIN near ON reached.b = near.a
+), component AS (
+  SELECT a AS fp, min(least) AS component_id FROM reached JOIN node ON b = node.fp GROUP BY a
+)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN component USING (fp)"""

@@ -229,6 +229,19 @@ def test_simhash(spark):
     assert kept == {c for _, c in brute_components(docs).values()}
 
 
+def test_simhash_equals_its_sql(spark):
+    """The SQL forms XXH64 by itself; shingles of all lengths, and near copies of long texts."""
+    import duckdb
+    import pandas as pd
+
+    base = [f"Wörd{i}" for i in range(400)]
+    docs = [*texts_of(8), (600, "x " * 5 + "y" * 90), (601, "One"), (602, " ".join(base)), (603, " ".join(base[:-3]).lower()), (604, " ".join(base[2:]))]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    got = simhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(simhash.oracle()).fetchall())
+
+
 def test_any_four_positions_hold_a_choice():
     choices = [set(c) for c in simhash.CHOICES]
     assert len(choices) == 20 and all(any(c <= set(four) for c in choices) for four in itertools.combinations(range(8), 4))
