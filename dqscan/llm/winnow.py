@@ -1,11 +1,11 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-A text's units are its words, long ones cut every `UNIT` characters. A unit's hash is 31 bits of its MD5;
-that of the k-gram that ends at each unit is a polynomial of theirs modulo a prime (the first k - 1
-grams are shorter); of every window of w hashes the least is
-kept, the rightmost on ties, with its place, that of the gram's last unit. One scheme serves all
-lengths, so that any run of w + k - 1 units that two texts share leaves a common entry in both; texts
-of fewer than w units keep the least of what they have.
+A text's units are its words, long ones cut every `UNIT` characters. A unit's hash is its CRC32; that
+of the k-gram that ends at each unit is a polynomial of theirs modulo a prime (the first k - 1 grams
+are shorter). Of every window of w hashes the least is kept, the rightmost on ties, with its place,
+that of the gram's last unit. One scheme serves all lengths, so that any run of w + k - 1 units that
+two texts share leaves a common entry in both; texts of fewer than w units keep the least of what
+they have.
 
 Edge cases: a null text is empty; texts without a unit have the empty fingerprint, and two such are
 alike by 1; texts of any length are read whole; equal texts have equal fingerprints, wherever they
@@ -36,7 +36,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     h, v = (f"__{out}_{x}" for x in "hv")
     names = df.columns
     units = F.regexp_extract_all(F.col(text), F.lit(UNITS), F.lit(0))
-    step = df.select(*names, F.transform(units, lambda u: F.shiftright(F.conv(F.substring(F.md5(u), 1, 8), 16, 10).cast("bigint"), 1)).alias(h))
+    step = df.select(*names, F.transform(units, lambda u: F.crc32(u.cast("binary"))).alias(h))
     none = F.array().cast("array<bigint>")
 
     def gram(i: Column) -> Column:
@@ -146,13 +146,26 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def _crc_table() -> list[int]:
+    """CRC32 of single bytes, as the reversed polynomial 0xEDB88320 makes them, for engines that have no such function."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_CRC = "[" + ", ".join(f"{c}::BIGINT" for c in _crc_table()) + "]"
+
+
 def oracle() -> str:
     """DuckDB SQL for `edited` over the table documents."""
 
     def entries(text: str) -> str:
         """[(hash, place)] of a text, by way of the same ranks."""
         units = f"regexp_extract_all({text}, '{UNITS}')"
-        hashed = "list_transform(u, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT >> 1)"
+        hashed = f"list_transform(u, lambda x: xor(list_reduce(list_transform(range(0, strlen(x)), lambda k: ('0x' || substring(hex(encode(x)), 2 * k + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, {_CRC}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT))"
         gram = "0"
         for j in range(GRAM - 1, -1, -1):
             gram = f"(({gram}) * {BASE} + CASE WHEN i > {j} THEN h[i - {j}] ELSE 0 END) % {PRIME}"

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -307,7 +308,7 @@ def brute_fingerprint(texts: list[str]) -> list[list[tuple[int, int]]]:
     def of(gram: list[str]) -> int:
         out = 0
         for u in gram:
-            out = (out * 1103515245 + (int(hashlib.md5(u.encode()).hexdigest()[:8], 16) >> 1)) % (2**31 - 1)
+            out = (out * 1103515245 + zlib.crc32(u.encode())) % (2**31 - 1)
         return out
 
     out = []
