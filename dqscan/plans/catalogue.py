@@ -105,10 +105,10 @@ def _rate_sql(kind: str, part_: str, whole: str) -> str:
     return "CASE " + " ".join(f"WHEN {part_} * 2000 > {whole} * {20 * limit + 1} THEN '{s}'" if limit is not None else f"ELSE '{s}'" for limit, s in S.LIMITS[kind]) + " END"
 
 
-def _pairs_sql(threshold: str) -> str:
+def _pairs_sql(threshold: str, rare: str = ">= 2") -> str:
     return f"""t AS (SELECT p_partkey AS row_idx, {NAMES} AS s FROM part),
 grams AS (SELECT DISTINCT row_idx, length(s) AS size, substring(s, i::INT, 3) AS gram FROM (SELECT row_idx, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM t)),
-rare AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) BETWEEN 2 AND 500),
+rare AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) {rare}),
 g AS (SELECT * FROM grams JOIN rare USING (gram)),
 shared AS (SELECT a.row_idx AS a, b.row_idx AS b, count(*) AS shared, min(least(a.size, b.size)) AS shorter FROM g a JOIN g b ON a.gram = b.gram AND a.row_idx < b.row_idx GROUP BY 1, 2),
 cand AS (SELECT a, b, shared FROM shared WHERE shared >= CASE WHEN shorter < 9 THEN 1 ELSE 2 END),
@@ -447,7 +447,7 @@ ORACLE: dict[str, str] = {
     "exact_documents": f"SELECT min(doc_id) AS first_row, count(*) AS group_size FROM documents GROUP BY {_COLLAPSED.format('text').replace('[^' + chr(92) + 'w', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_')}, lang HAVING count(*) > 1 AND count(DISTINCT text) = 1",
     "phantom_members": f"WITH {SQL_PART}, g AS ({_GROUP}) SELECT row_idx, first_row FROM m JOIN g ON k0 = {_COLLAPSED.format('brand')} AND k1 = {_COLLAPSED.format('made_of')}",
     "fingerprint_groups": f"WITH {SQL_PART}, {_FINGERPRINTED} SELECT min(row_idx) AS first_row, count(*) AS group_size FROM q GROUP BY {_TOKENS.format('brand')}, {_TOKENS.format('made_of')} HAVING count(*) > 1",
-    "gram_candidates": f"WITH {_pairs_sql('0.1')} SELECT a, b, shared FROM cand",
+    "gram_candidates": f"WITH {_pairs_sql('0.1', 'BETWEEN 2 AND 500')} SELECT a, b, shared FROM cand",
     "close_pairs": f"WITH {_pairs_sql('0.1')} SELECT a, b, distance, size FROM pairs",
     "rule_violations": f"WITH {SQL_CUSTOMER} " + " UNION ALL ".join(_rule_sql(r, c) for r in RULES for c in CUSTOMER if r.applies_to(c)),
     "severity_counts": f"{WITH_VALS}, {SQL_NULLS}, {SQL_FORMATS}, {_MIXED}, {_SEVERITIES} SELECT * FROM sev",

@@ -278,6 +278,53 @@ def test_rows_of_one_text_keep_all_their_close_pairs(spark, threshold):
     assert len(got) == len(want) and set(got) == want
 
 
+def common_names(n=620):
+    """Rows whose grams are all in over 500 rows, close to each other or not."""
+    ends = ["warehouse", "warehouze", "warehousewarehouse", "warehouzewarehouse", "warewarehouse"]
+    return [f"{e} of warehouze warehouse" for e in ends * (n // len(ends))]
+
+
+def near(texts, threshold):
+    """(a, b): (distance, size) of the candidates that are close, by definition."""
+    known = {}
+    for a, b in shared_grams(texts, len(texts)):
+        x, y = texts[a], texts[b]
+        if (x, y) not in known:
+            known[x, y] = (edits(x, y), max(len(x), len(y)))
+        d, size = known[x, y]
+        if d <= (1 - threshold) * size + 1e-9:
+            yield (a, b), (d, size)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.9])
+def test_texts_of_common_grams_keep_all_their_close_pairs(spark, threshold):
+    texts = common_names()
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_idx long, s string")
+    assert min(Counter(g for s in texts for g in {s[i : i + 3] for i in range(len(s) - 2)}).values()) > 120
+    got = [(r["a"], r["b"], r["distance"], r["size"]) for r in D.close_pairs(rows, threshold).collect()]
+    want = dict(near(texts, threshold))
+    assert len(got) == len(want) > 10**4 and {(a, b): (d, n) for a, b, d, n in got} == want
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.9])
+def test_blocks_and_prefixes_of_grams_lose_no_close_pair(spark, threshold):
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 30))) for _ in range(12)]
+    texts = list({s[:i] + rnd.choice(("", "a", "ba")) + s[i + rnd.randint(0, 1) :] for s in base * 8 for i in [rnd.randint(0, len(s))]} | {"a" * 12, "a" * 13, "ab" * 8, "ba" * 8})
+    table = spark.createDataFrame(list(enumerate(texts)), "class long, s string")
+    got = [(r["x"], r["y"]) for r in D._prefix_pairs(table, threshold, block=7).collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert {p for p, _ in near(texts, threshold)} <= set(got)
+
+
+def test_long_lists_of_rows_meet_in_pieces(spark):
+    texts = ["one long text"] * 9 + ["one long texts"] * 4
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_idx long, s string")
+    pairs = spark.createDataFrame([(0, 0, 9, 9, 13, 0), (0, 9, 9, 4, 14, 1)], "x long, y long, copies_x long, copies_y long, size int, distance int")
+    got = [(r["a"], r["b"], r["distance"]) for r in D._listed(pairs, rows, D._texts(rows), most=2, a_task=5).collect()]
+    assert sorted(got) == [(a, b, int(b > 8)) for a, b in itertools.combinations(range(13), 2) if a < 9]
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_edit_groups_send_no_table_of_pairs_through_the_driver(filed_names, monkeypatch, most):
     seen = {}
