@@ -220,8 +220,7 @@ def duplicate_groups(df: DataFrame, freq: DataFrame, types: dict, total: int, th
     if max_pairwise is not None and n > max_pairwise:
         sheet["fuzzy_skipped"] = {"unmatched_rows": n, "limit": max_pairwise}
         return kinds
-    pairs = spool(D.close_pairs(rest, threshold, n=n))
-    grouped = spool(D.seed_groups(pairs).withColumnRenamed("seed", "first_row"))
+    grouped = spool(D.edit_groups(rest, threshold, n=n).withColumnRenamed("seed", "first_row"))
     sizes = grouped.groupBy("first_row").agg((F.count("*") + 1).alias("group_size"))
     everyone = grouped.unionByName(sizes.select("first_row", F.col("first_row").alias(C.ROW)))
     record(F.lit("levenshtein"), sizes, everyone)

@@ -247,7 +247,7 @@ def brute_pairs(spark, sf_dir):
 
 
 def edit_groups(spark, sf_dir):
-    return D.seed_groups(D.close_pairs(names(spark, sf_dir), 0.9, n=10**6))
+    return D.edit_groups(names(spark, sf_dir), 0.9, n=10**6)
 
 
 def rule_violations(spark, sf_dir):

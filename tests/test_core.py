@@ -325,6 +325,17 @@ def test_long_lists_of_rows_meet_in_pieces(spark):
     assert sorted(got) == [(a, b, int(b > 8)) for a, b in itertools.combinations(range(13), 2) if a < 9]
 
 
+@pytest.mark.parametrize("texts", [common_names(), ["a" * 12, "b" * 12, "a" * 13, "a" * 12, "warehouse", "b" * 12, "warehouse", "xy", "xy", "", "", None, None]])
+def test_edit_groups_of_texts_equal_the_walk_over_rows(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_idx long, s string")
+    want = {}
+    for a, b in sorted(p for p, _ in near(texts, 0.9)):
+        if a not in want:
+            want.setdefault(b, a)
+    got = [(r["row_idx"], r["seed"]) for r in D.edit_groups(rows, 0.9, brute_force=0).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_edit_groups_send_no_table_of_pairs_through_the_driver(filed_names, monkeypatch, most):
     seen = {}
